@@ -161,12 +161,17 @@ def score_slice(m: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.where(np.isinf(best), 0.0, 1 / (1 + np.exp(-np.clip(m.scale * best + m.shift, -30, 30))))
 
 
-def _odds(rows: np.ndarray, doc: np.ndarray, n_rows: int, label: np.ndarray) -> np.ndarray:
+def _seen(rows: np.ndarray, doc: np.ndarray, n_rows: int, label: np.ndarray) -> np.ndarray:
+    """How many texts of each label (0, 1) every row stands in; doc counts from 0 in label."""
+    own = np.unique(doc * n_rows + rows)
+    kind = label[own // n_rows]
+    return np.stack([np.bincount(own[kind == k] % n_rows, minlength=n_rows) for k in (0, 1)])
+
+
+def _odds(seen: np.ndarray, texts: np.ndarray) -> np.ndarray:
     """Shrunken log-odds of rows by how many toxic and other texts they stand in; none for rows of one or two texts."""
-    seen = np.unique(doc * n_rows + rows)
-    toxic = label[seen // n_rows] == 1
-    pos, neg = (np.bincount(seen[k] % n_rows, minlength=n_rows) for k in (toxic, ~toxic))
-    raw = np.log((pos + 1) / (label.sum() + 2)) - np.log((neg + 1) / ((1 - label).sum() + 2))
+    neg, pos = seen
+    raw = np.log((pos + 1) / (texts[1] + 2)) - np.log((neg + 1) / (texts[0] + 2))
     return np.clip(raw * np.maximum(pos + neg - 2, 0) / (pos + neg + 4), -3, 3).astype(np.float32)
 
 
@@ -225,27 +230,23 @@ def fit(texts: list[str | None], labels: list[int], prior: float, seed: int = 7)
         return m
     column = pa.array(texts, pa.string())
     parts, docs = [], []
-    for i, j, data, offsets in slices(column):
+    for i, j, data, offsets in slices(column, 1 << 20):
         parts.append(Types(data, offsets))
         docs.append((i, j))
     # Every fifth text is kept for calibration and sets no odds.
     train = np.arange(len(label)) % 5 != 0
-    word_rows, word_doc, char_rows, char_doc = [], [], [], []
-    for t, (i, _) in zip(parts, docs, strict=True):
-        doc = np.repeat(np.arange(len(t.first) - 1), np.diff(t.first)) + i
+    word_seen, char_seen = np.zeros((2, WORD_ROWS), np.int64), np.zeros((2, CHAR_ROWS), np.int64)
+    for t, (i, j) in zip(parts, docs, strict=True):
+        doc = np.repeat(np.arange(j - i), np.diff(t.first))
         pair = np.unique(doc * len(t.rows) + t.of_word) if len(doc) else np.zeros(0, np.int64)
         doc, kind = (pair // len(t.rows), pair % len(t.rows)) if len(pair) else (pair, pair)
-        use = train[doc]
+        use = train[doc + i]
         doc, kind = doc[use], kind[use]
-        word_rows.append(t.rows[kind])
-        word_doc.append(doc)
+        word_seen += _seen(t.rows[kind], doc, WORD_ROWS, label[i:j])
         count = np.diff(np.append(t.char_first, len(t.chars)))[kind]
-        char_rows.append(t.chars[ragged(t.char_first[kind], count)])
-        char_doc.append(np.repeat(doc, count))
-    sizes = np.where(train, label, 0), np.where(train, 1 - label, 0)
-    seen = np.where(train, label, -1)
-    m.word_odds = _odds(np.concatenate(word_rows), np.concatenate(word_doc), WORD_ROWS, np.where(seen == 1, 1, 0) if sizes[0].sum() else label)
-    m.char_odds = _odds(np.concatenate(char_rows), np.concatenate(char_doc), CHAR_ROWS, np.where(seen == 1, 1, 0) if sizes[0].sum() else label)
+        char_seen += _seen(t.chars[ragged(t.char_first[kind], count)], np.repeat(doc, count), CHAR_ROWS, label[i:j])
+    texts_of = np.bincount(label[train], minlength=2)
+    m.word_odds, m.char_odds = _odds(word_seen, texts_of), _odds(char_seen, texts_of)
     # Windows to train on: of each text, the MINED with the highest odds in them.
     items = []  # part, document, first word, size
     for k, (t, (i, _)) in enumerate(zip(parts, docs, strict=True)):
