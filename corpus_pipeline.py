@@ -37,10 +37,10 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut out of the texts; n_chars follows, and a document of which no word is left goes."""
     ready(spark)
-    found = decontaminate.find_leaks(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+    cut = decontaminate.find_leaks(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), cut=True)
     hit = F.aggregate("removal_spans", F.lit(0).cast("bigint"), lambda a, x: a + x["end_word"] - x["first_word"])
-    cut = decontaminate.remove_spans(found.where((hit == 0) | (hit < F.col("n_words"))))
-    return cut.withColumn("n_chars", F.when(F.size("removal_spans") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+    n_chars = F.when(F.size("removal_spans") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
+    return cut.where((hit == 0) | (hit < F.col("n_words"))).withColumn("n_chars", n_chars).select(*COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from .common import map_columns, ready
 from .textkit import HashTable, pre_tokens, ragged, slices, span_hash
 
-CACHE_ENTRIES = 1 << 21
+CACHE_ENTRIES = 1 << 19
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -111,7 +111,7 @@ class Bpe:
                 undo_left = not undo_left
             if stuck:
                 break
-        if len(self.known_pairs) > 1 << 20:
+        if len(self.known_pairs) > 1 << 16:
             self.known_pairs.clear()
         self.known_pairs[key] = out
         return out

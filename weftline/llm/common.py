@@ -11,14 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Rows that a Python worker holds at a time; texts are long, so Spark's default would hold tens of MB on both sides.
+BATCH_ROWS = "1024"
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package, also where the driver found it by sys.path alone."""
+    """Lets Python workers import this package, also where the driver found it by sys.path alone, and bounds their batches."""
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", ""):
         env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark
 
 

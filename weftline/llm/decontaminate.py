@@ -27,7 +27,7 @@ from .common import map_columns, ready
 from .fm_index import FmIndex
 from .textkit import HashTable, ragged, slices, words
 
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 1 << 20
 BLOCK_WORDS = 1 << 20
 
 ADDED = {
@@ -126,8 +126,8 @@ def _runs(hit: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(hit & (edge[:-1] | ~np.append(False, hit[:-1]))), np.flatnonzero(hit & (edge[1:] | ~np.append(hit[1:], False))) + 1
 
 
-def _pass(df: DataFrame, phrases: Phrases, ids: list[str | None], text_col: str, more: bool, keep: list[str] | None) -> DataFrame:
-    """One block's spans and items, joined to those of earlier blocks if there were any."""
+def _pass(df: DataFrame, phrases: Phrases, ids: list[str | None], text_col: str, more: bool, keep: list[str] | None, cut: bool) -> DataFrame:
+    """One block's spans and items, joined to those of earlier blocks if there were any. cut: text_col comes without the spans."""
     shared = ready(df.sparkSession).sparkContext.broadcast((phrases, ids))
 
     def make():
@@ -156,21 +156,36 @@ def _pass(df: DataFrame, phrases: Phrases, ids: list[str | None], text_col: str,
                     [pa.array(x, pa.int64()) for x in (a - first[d], b - first[d], start[a] - offsets[d], end[b - 1] - offsets[d])],
                     names=["first_word", "end_word", "first_byte", "end_byte"],
                 )
-                yield i, j, [pa.array(np.diff(first), pa.int64()), pa.ListArray.from_arrays(pa.array(bound, pa.int32()), spans), pa.array([sorted(x) for x in listed], pa.list_(pa.string()))]
+                out = [pa.array(np.diff(first), pa.int64()), pa.ListArray.from_arrays(pa.array(bound, pa.int32()), spans), pa.array([sorted(x) for x in listed], pa.list_(pa.string()))]
+                if cut:
+                    texts = batch.column(batch.schema.get_field_index(text_col)).slice(i, j - i)
+                    out.append(_without(texts, data, offsets, start[a], end[b - 1], bound) if len(a) else texts)
+                yield i, j, out
 
         return f
 
-    return map_columns(df, make, ADDED, keep)
+    return map_columns(df, make, ADDED | ({text_col: "string"} if cut else {}), keep)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_text_col: str = "text", item_id_col: str = "item_id", keep: list[str] | None = None) -> DataFrame:
+def _without(texts: pa.Array, data: np.ndarray, offsets: np.ndarray, start: np.ndarray, end: np.ndarray, bound: np.ndarray) -> pa.Array:
+    """texts, of the slice data, with the byte ranges start to end cut out; bound tells where each text's ranges begin."""
+    out = texts.to_pylist()
+    raw = data.tobytes()
+    for d in np.flatnonzero(np.diff(bound)).tolist():
+        own = slice(bound[d], bound[d + 1])
+        edges = [offsets[d], *np.stack([start[own], end[own]], 1).ravel().tolist(), offsets[d + 1]]
+        out[d] = b"".join(raw[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)).decode()
+    return pa.array(out, pa.string())
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_text_col: str = "text", item_id_col: str = "item_id", keep: list[str] | None = None, cut: bool = False) -> DataFrame:
     """docs with n_words, removal_spans (merged, in order, in words and bytes of the text) and item_ids
-    (as strings, sorted) of the benchmark items whose phrases occur."""
+    (as strings, sorted) of the benchmark items whose phrases occur. cut: text_col comes with the spans cut out."""
     out, more, texts, ids, size = docs, False, [], [], 0
 
     def flush(last: bool):
         nonlocal out, more, texts, ids, size
-        out = _pass(out, Phrases(texts, window), ids, text_col, more, keep if last or keep is None else [*dict.fromkeys([*keep, text_col, *(ADDED if more else ())])])
+        out = _pass(out, Phrases(texts, window), ids, text_col, more, keep if last or keep is None else [*dict.fromkeys([*keep, text_col])], cut and last)
         more, texts, ids, size = True, [], [], 0
 
     for row in benchmark.select(benchmark[item_id_col].cast("string"), benchmark[item_text_col]).toLocalIterator():
@@ -182,21 +197,3 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col
     flush(True)
     return out
 
-
-def remove_spans(df: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """df with removal_spans cut out of text_col."""
-
-    def make():
-        def f(batch):
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            spans = batch.column(batch.schema.get_field_index("removal_spans")).to_pylist()
-            for k, some in enumerate(spans):
-                if some:
-                    raw = texts[k].encode()
-                    edges = [0, *(x for s in some for x in (s["first_byte"], s["end_byte"])), len(raw)]
-                    texts[k] = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)).decode()
-            yield 0, len(texts), [pa.array(texts, pa.string())]
-
-        return f
-
-    return map_columns(df, make, {text_col: "string"}, keep)
