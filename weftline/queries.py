@@ -222,7 +222,7 @@ def discovery_representative(spark, d):
     return tables.discovery_representative(table(spark, d, "part"), F.lower("p_name"), [F.desc("p_retailprice"), F.col("p_partkey")], F.col("p_size") > 3).select("p_partkey", "discovery_representative")
 
 
-@query("SELECT p_partkey, CAST(row_number() OVER (ORDER BY p_retailprice DESC, lower(p_name), p_partkey) AS INTEGER) AS position, 3 AS page, CAST(ceil((SELECT count(*) FROM part) / 120.0) AS INTEGER) AS pages FROM part QUALIFY position BETWEEN 241 AND 360")
+@query("SELECT p_partkey, CAST(row_number() OVER (ORDER BY p_retailprice DESC, lower(p_name), p_partkey) AS INTEGER) AS position, CAST(least(3, ceil((SELECT count(*) FROM part) / 120.0)) AS INTEGER) AS page, CAST(ceil((SELECT count(*) FROM part) / 120.0) AS INTEGER) AS pages FROM part QUALIFY position BETWEEN page * 120 - 119 AND page * 120")
 def catalog_order_page(spark, d):
     return tables.page(table(spark, d, "part"), [F.desc("p_retailprice"), F.lower("p_name"), F.col("p_partkey")], 3).select("p_partkey", "position", "page", "pages")
 
@@ -336,9 +336,9 @@ def hidden_excluded(spark, d):
     return tables.without_hidden(table(spark, d, "part").select("p_partkey"), hidden, "p_partkey")
 
 
-@query("SELECT p_partkey FROM part WHERE list_contains(string_split(p_type, ' '), 'STEEL') AND p_size = 10 OR false")
+@query("SELECT p_partkey FROM part WHERE list_contains(string_split(p_type, ' '), 'PROMO') AND p_size = 21")
 def facet_filter(spark, d):
-    return tables.facet_filter(table(spark, d, "part").select("p_partkey", "p_size", F.split("p_type", " ").alias("types")), {"types": "STEEL", "p_size": 10}).select("p_partkey")
+    return tables.facet_filter(table(spark, d, "part").select("p_partkey", "p_size", F.split("p_type", " ").alias("types")), {"types": "PROMO", "p_size": 21}).select("p_partkey")
 
 
 @query("SELECT page_id, regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 's') AS title FROM pages")
