@@ -152,6 +152,9 @@ def test_jaccard_join(spark, odd, none, monkeypatch):
     again = jaccard_join.jaccard_join(odd).collect()
     assert len(again) == len(TEXTS) + 2 and {r["class_id"] for r in again if r["doc_id"] is None} == {4}
     assert jaccard_join.jaccard_join(none).count() == 0
+    one = jaccard_join.keep_one_of_each(odd.withColumn("_row", F.lit(7)).withColumn("key", F.lit("mine")))
+    assert sorted(r["doc_id"] for r in one.collect()) == [0, 1, 2, 3, 4, 5, 7, 8, 9] and one.columns[-2:] == ["_row", "key"]
+    assert jaccard_join.keep_one_of_each(none).count() == 0
 
 
 def test_components(spark):
@@ -229,6 +232,10 @@ def test_url_filters(spark, monkeypatch):
     for bound in (100, 0):
         monkeypatch.setattr(url_filters, "BROADCAST_ROWS", bound)
         assert [r["categories"] for r in url_filters.filter_urls(caps, listed).orderBy("page_id").collect()] == want
+    deep = "z.y.x.w.v.u.t.s.r.bad.example/1/2/3/4/5/6"
+    below = spark.createDataFrame([(1, f"http://q.{deep}", "2024-01-02"), (2, f"http://{deep}/7", "2024-01-02")], "u long, url string, d string").withColumn("fetched", F.col("d").cast("date"))
+    more = listed.unionByName(spark.createDataFrame([(deep, "path", "add"), ("z." + deep.split(".", 1)[1].split("/")[0], "host", "add")], "key string, category string, action string").withColumn("day", F.lit("2024-01-01").cast("date")))
+    assert [(r["u"], r["d"], r["categories"]) for r in url_filters.filter_urls(below, more).orderBy("u").collect()] == [(1, "2024-01-02", ["host"]), (2, "2024-01-02", ["host", "path"])]
     assert url_filters.filter_urls(caps, listed.where("false")).where("blocked").count() == 0
     assert url_filters.filter_urls(caps.where("false"), listed).count() == 0
 

@@ -45,6 +45,14 @@ def written(df: DataFrame, what: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """name, with as many leading underscores as keep it apart from columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def dropped(spark: SparkSession, df: DataFrame) -> None:
     """Deletes what written() made, once nothing reads it."""
     for file in df.inputFiles()[:1]:

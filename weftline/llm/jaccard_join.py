@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, map_columns, ready, written
+from .common import dropped, fresh, map_columns, ready, written
 from .graph import connected_components
 from .textkit import HashTable, mix, ragged, slices, words
 
@@ -275,7 +275,11 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, text_col: str = "text"
 
 
 def keep_one_of_each(docs: DataFrame, threshold: float = 0.8, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """docs with one document of each class: the one with the least id (a repeated id: one of its rows)."""
-    classes = jaccard_join(docs, threshold, text_col, id_col)
-    drop = classes.where(~F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("gone")).distinct()
-    return docs.join(drop, F.col(id_col).eqNullSafe(F.col("gone")), "left_anti")
+    """docs with one document of each class: the one with the least id, a null id counting as the greatest. Of a
+    class's rows with the same id one stays; an id that stands for texts of several classes stays in each."""
+    row = fresh("_row", docs.columns)
+    docs = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    own = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row"))
+    classes = jaccard_join(docs.select(own.alias("own"), F.col(text_col).alias("text")), threshold, "text", "own")
+    gone = classes.where("own.row <> class_id.row").select(F.col("own.row").alias(row))
+    return docs.join(gone, row, "left_anti").drop(row)

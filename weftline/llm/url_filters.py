@@ -5,10 +5,11 @@ a "remove" on it is not. They become validity intervals, and every capture is ju
 against the entries active when it was fetched. A key is a host or a parent domain, and matches all hosts
 below it, or a host with a leading path ("a.example/x"), which matches that path and what is below it.
 
-A capture has one candidate key for each domain and path prefix of its URL. Intervals of a key are disjoint,
-so a candidate meets at most one active interval of a category. Captures and list meet by an equi-join on
-the key. If the list's size, counted first, is at most BROADCAST_ROWS, it is broadcast; otherwise captures are
-first reduced to distinct (key, day) pairs, which also takes the weight off hot hosts.
+A capture has one candidate key for each domain and path prefix of its URL, as far down as the list's keys
+go. Intervals of a key are disjoint, so a candidate meets at most one active interval of a category. Captures
+and list meet by an equi-join on the key. If the list's size, counted first, is at most BROADCAST_ROWS, it is
+broadcast; otherwise captures are first reduced to distinct (key, day) pairs, which also takes the weight off
+hot hosts.
 
 Cases: a null or malformed URL, or a null fetch day, matches nothing; repeated changes and an add of a key
 that is on the list already change nothing; a "remove" on the same day as an "add" comes after it; repeated
@@ -21,8 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 BROADCAST_ROWS = 100_000
-MAX_LABELS, MAX_PATH = 8, 4
 
 
 def validity_intervals(changes: DataFrame) -> DataFrame:
@@ -38,13 +40,13 @@ def url_host(url: Column) -> Column:
     return F.regexp_extract(F.lower(url), r"^https?://(?:[^/?#@]*@)?([^/:?#@]+)", 1)
 
 
-def url_keys(url: Column) -> Column:
-    """The host, its parent domains of at least two labels, and the host with each leading part of the path (MAX_LABELS, MAX_PATH deep)."""
+def url_keys(url: Column, labels_deep: int, path_deep: int) -> Column:
+    """The host, its parent domains of 2 to labels_deep labels, and the host with the first 1 to path_deep parts of the path."""
     host = F.regexp_replace(url_host(url), r"\.$", "")
     labels = F.split(host, r"\.")
-    domains = F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.least(F.size(labels), F.lit(MAX_LABELS)))), lambda n: F.array_join(F.slice(labels, -F.least(n, F.size(labels)), F.least(n, F.size(labels))), "."))
+    domains = F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.least(F.size(labels), F.lit(labels_deep)))), lambda n: F.array_join(F.slice(labels, -F.least(n, F.size(labels)), F.least(n, F.size(labels))), "."))
     path = F.filter(F.split(F.regexp_extract(url, r"^[A-Za-z]+://[^/?#]+/([^?#]*)", 1), "/"), lambda x: x != "")
-    paths = F.transform(F.filter(F.sequence(F.lit(1), F.lit(MAX_PATH)), lambda n: n <= F.size(path)), lambda n: F.concat_ws("/", host, F.array_join(F.slice(path, F.lit(1), n), "/")))
+    paths = F.transform(F.filter(F.sequence(F.lit(1), F.lit(max(1, path_deep))), lambda n: n <= F.size(path)), lambda n: F.concat_ws("/", host, F.array_join(F.slice(path, F.lit(1), n), "/")))
     return F.when(F.coalesce(host, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(domains, F.array(host), paths)))
 
 
@@ -54,9 +56,11 @@ def filter_urls(captures: DataFrame, changes: DataFrame, url_col: str = "url", d
     base = captures.drop(*added)
     # A URL's keys and a day decide the outcome, so each distinct (URL, day) is judged once.
     urls = base.select(F.col(url_col).alias("u"), F.col(day_col).alias("d")).where("u is not null and d is not null").distinct()
-    keyed = urls.withColumn("key", F.explode(url_keys(F.col("u"))))
     intervals = validity_intervals(changes)
-    small = intervals.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    # One row: how long the list is, and how deep its keys go.
+    listed, labels_deep, path_deep = intervals.agg(F.count("*"), F.max(F.size(F.split(F.substring_index("key", "/", 1), r"\."))), F.max(F.size(F.split("key", "/")) - 1)).first()
+    keyed = urls.withColumn("key", F.explode(url_keys(F.col("u"), labels_deep or 0, path_deep or 0)))
+    small = listed <= BROADCAST_ROWS
     active = (F.col("d") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("d") < F.col("valid_to")))
     if small:
         found = keyed.join(F.broadcast(intervals), "key").where(active).select("u", "d", "key", "category")
@@ -64,6 +68,8 @@ def filter_urls(captures: DataFrame, changes: DataFrame, url_col: str = "url", d
         days = keyed.select("key", "d").distinct()
         found = keyed.join(days.join(intervals, "key").where(active).select("key", "d", "category"), ["key", "d"]).select("u", "d", "key", "category")
     hits = found.groupBy("u", "d").agg(F.sort_array(F.collect_set("key")).alias("matched_keys"), F.sort_array(F.collect_set("category")).alias("categories"))
-    out = base.join(hits, (F.col(url_col) == F.col("u")) & (F.col(day_col) == F.col("d")), "left")
+    u, d = fresh("u", base.columns), fresh("d", base.columns)
+    hits = hits.withColumnsRenamed({"u": u, "d": d})
+    out = base.join(hits, (F.col(url_col) == F.col(u)) & (F.col(day_col) == F.col(d)), "left")
     empty = F.array().cast("array<string>")
     return out.select(*base.columns, F.coalesce("matched_keys", empty).alias("matched_keys"), F.coalesce("categories", empty).alias("categories"), F.col("matched_keys").isNotNull().alias("blocked"))
