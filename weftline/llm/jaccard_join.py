@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, fresh, map_columns, ready, written
+from .common import dropped, fresh, map_columns, ready, release, written
 from .graph import connected_components
 from .textkit import HashTable, mix, ragged, slices, words
 
@@ -236,6 +236,8 @@ def _compare(units: DataFrame, text_col: str, threshold: float) -> DataFrame:
                 held[r["key"], r["text"]] = r
         if held and (out := one(list(held.values()))) is not None:
             yield out
+        held = batch = None
+        release()
 
     return units.withColumnRenamed(text_col, "text").mapInArrow(run, "key binary, links bigint, root binary")
 
