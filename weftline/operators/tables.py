@@ -56,10 +56,10 @@ def chunks(rows: DataFrame, size: int, group: list[str], *order: Column) -> Data
     return rows.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1) / size).cast("bigint"))
 
 
-def least_loaded(units: DataFrame, unit: str, size: str, n: int) -> DataFrame:
-    """(unit, bin): units, largest first, each to the bin with the least load. Sequential by nature; over a plan's units only."""
+def least_loaded(units: DataFrame, unit: str, size: str, n: int, start: list[int] | None = None) -> DataFrame:
+    """(unit, bin): units, largest first, each to the bin with the least load (from start on). Sequential by nature; over a plan's units only."""
     rows = units.select(unit, size).orderBy(F.desc(size), unit).collect()
-    loads, out = [0] * n, []
+    loads, out = list(start or [0] * n), []
     for r in rows:
         k = min(range(n), key=lambda b: (loads[b], b))
         loads[k] += r[size]
