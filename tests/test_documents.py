@@ -24,7 +24,7 @@ CASES = [
     ("# 蛋\n## 必备原料和工具\n- 鸡蛋\n## 计算\n- 鸡蛋 2 个\n## 操作\n- 煎", "x.md", ("蛋", ["鸡蛋 2 个"], ["煎"])),
     ("---\ntitle: Dal\ningredients: [lentils]\ndirections: [Boil.]\n---\nx", "x.md", ("Dal", ["lentils"], ["Boil."])),
     ("# Salsa\n* Tomato\n* Onion\n\nChop and combine.\n", "salsa.md", ("Salsa", ["Tomato", "Onion"], ["Chop and combine."])),
-    ("Stew\n====\n\nServes 4\n1 lb beef\n3 carrots\n2 onions,\nvery large\n\nBrown the beef.\nCook.\n\nComments\nNice", "s.md", None),
+    ("Stew\n====\n\nServes 4\n1 lb beef\n3 carrots\n2 onions,\nvery large\n\nFry the beef.\nCook.\n\nComments\nNice", "s.md", None),
     ('<script type="application/ld+json">{"@graph":[{"@type":"Recipe","name":"Rice &amp; Peas","recipeIngredient":["rice"],"recipeInstructions":[{"@type":"HowToStep","text":"<b>Cook.</b>"}]}]}</script>', "r.html", ("Rice &amp; Peas", ["rice"], ["Cook."])),
     ('<html><title>Site</title><div itemscope itemtype="http://schema.org/Recipe"><h1 itemprop="name">Soup</h1><meta itemprop="recipeIngredient" content="water"><p itemprop="recipeInstructions">Boil <b>it</b>.</p><div itemscope itemtype="http://schema.org/Person"><i itemprop="name">Ann</i></div></div>', "s.html", ("Soup", ["water"], ["Boil it ."])),
     ('<title>Pie</title><ul><li class="x wprm-recipe-ingredient">1 <b>egg</b></li></ul><div class="recipe-instruction">Bake.</div>', "p.html", ("Pie", ["1 egg"], ["Bake."])),
@@ -45,7 +45,7 @@ def test_readers(text, path, want):
 
 def test_layouts():
     r = prose.recovered(CASES[5][0], "s.md")[0]
-    assert r["title"] == "Stew" and r["ingredients"] == ["1 lb beef", "3 carrots", "2 onions, very large"] and r["instructions"] == ["Brown the beef.", "Cook."]
+    assert r["title"] == "Stew" and r["ingredients"] == ["1 lb beef", "3 carrots", "2 onions, very large"] and r["instructions"] == ["Fry the beef.", "Cook."]
     assert prose.leading_list("A\n===\n- x\n- y\n\nMix.\n1. Bake.\n# Notes\nz", "a.md")[0]["instructions"] == ["Mix.", "Bake."]
     assert prose.interleaved("# A\nChop:\n- x\nFry:\n- y", "a.md")[0]["ingredients"] == ["x", "y"]
     two = "# A\n## Ingredients\n- x\n## Method\ny\n# B\n## Ingredients\n- z\n## Method\nw"
