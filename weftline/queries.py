@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from .functions import identity, measure
 from .functions import text as tx
-from .operators import classify, evidence, publish, scoring, search, tables
+from .operators import classify, evidence, publish, scope, scoring, search, signals, site, tables, validation
 from .plans import flagship as plan
+from .sources import documents as files
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -390,3 +391,128 @@ def event_rollup(spark, d):
 @query("SELECT p_partkey, p_name LIKE '%a%' AND p_name NOT LIKE '%b_e%' AS selected FROM part")
 def path_globs(spark, d):
     return table(spark, d, "part").select("p_partkey", tx.path_selected(F.col("p_name"), ["*a*"], ["*b?e*"]).alias("selected"))
+
+
+def _captured(spark, d):
+    """part's rows as files of seven formats: the same record in each."""
+    c = {k: F.col(k).cast("string") for k in ("p_name", "p_brand", "p_type", "p_size", "p_partkey")}
+    say = lambda *parts: F.concat(*(c[x] if x in c else F.lit(x) for x in parts))
+    markup = ("<html><title>", "p_name", "</title>")
+    formats = [
+        (".md", say("# ", "p_name", "\n## Ingredients\n- ", "p_size", " g ", "p_type", "\n- ", "p_brand", "\n## Method\n1. Mix.\n2. Serve to ", "p_partkey", ".\n")),
+        (".json", say('{"app": [{"name": "', "p_name", '", "recipeIngredient": ["', "p_size", " g ", "p_type", '", "', "p_brand", '"], "recipeInstructions": [{"text": "Mix."}, {"text": "Serve to ', "p_partkey", '."}]}]}')),
+        (".html", say('<html><script type="application/ld+json">{"name": "', "p_name", '", "ingredients": ["', "p_size", " g ", "p_type", '", "', "p_brand", '"], "instructions": "Mix.\\nServe to ', "p_partkey", '."}</script></html>')),
+        (".htm", say(*markup, '<ul><li itemprop="recipeIngredient">', "p_size", " g  ", "p_type", '</li><li itemprop="recipeIngredient">', "p_brand", '</li></ul><p itemprop="recipeInstructions">Mix.</p><p itemprop="recipeInstructions">Serve to ', "p_partkey", ".</p></html>")),
+        (".html", say(*markup, '<b class="ingredient">', "p_size", " g ", "p_type", '</b><b class="ingredient">', "p_brand", '</b><p class="instruction">Mix.<p class="instruction">Serve to ', "p_partkey", ".</p></p></html>")),
+        (".csv", say('Title, Ingredients ,Directions\n', "p_name", ',"', "p_size", " g ", "p_type", "\n", "p_brand", '","Mix.\nServe to ', "p_partkey", '."\n')),
+        (".md", say("p_name", "\n===\n\nServes 4\n* ", "p_size", " g ", "p_type", "\n* ", "p_brand", "\n\nMix.\n\nServe to ", "p_partkey", ".\n\nSource: x\n")),
+    ]
+    kind = F.col("p_partkey") % len(formats)
+    text, ending = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for k, (end, body) in enumerate(formats):
+        text, ending = F.when(kind == k, body).otherwise(text), F.when(kind == k, end).otherwise(ending)
+    return table(spark, d, "part").select("p_partkey", F.concat(c["p_partkey"], ending).alias("path"), text.alias("content"))
+
+
+@query("""SELECT p_partkey, 0 AS file_position, p_name AS title, p_size || ' g ' || p_type || '|' || p_brand AS items, CASE WHEN p_partkey % 7 = 4 THEN 'Serve to ' || p_partkey || '.|Mix. Serve to ' || p_partkey || '.' ELSE 'Mix.|Serve to ' || p_partkey || '.' END AS steps FROM part""")
+def parse_formats(spark, d):
+    rows = files.records(files.parse_documents(_captured(spark, d), F.col("path"), F.col("content")), ["p_partkey"])
+    return rows.select("p_partkey", "file_position", "title", F.array_join("ingredients", "|").alias("items"), F.array_join("instructions", "|").alias("steps"))
+
+
+@query("SELECT page_id, true AS failed FROM pages")
+def parse_pages(spark, d):
+    pages = table(spark, d, "pages")
+    parsed = files.parse_documents(pages, F.concat(F.col("page_id").cast("string"), F.lit(".html")), F.col("html"))
+    return parsed.select("page_id", F.col("parsed.error").isNotNull().alias("failed"))
+
+
+@query("""SELECT o_orderkey, k * 2 + 1 AS operations, CASE WHEN k % 3 = 0 THEN 'bowl,pan' ELSE 'pan' END AS vessels, CASE WHEN k % 3 = 0 THEN 3 ELSE 2 END AS vessel_count, greatest(CASE WHEN k % 2 = 0 THEN 60.0 * (k + 1) ELSE 0 END, 10.0 + k)::DOUBLE AS lower_bound, k % 5 = 0 AS advance
+FROM (SELECT o_orderkey, CAST(o_orderkey % 12 AS INTEGER) AS k FROM orders)""")
+def practical_signals(spark, d):
+    k = (F.col("o_orderkey") % 12).cast("int")
+    n = lambda c: c.cast("string")
+    steps = F.array(
+        F.concat(F.repeat(F.lit("chop and whisk "), k), F.lit("it in the pan. Use another large pan and stir.")), F.concat(F.lit("Bake "), n(k + 10), F.lit("-99 minutes")),
+        F.when(k % 2 == 0, F.concat(F.lit(". Chill for "), n(k + 1), F.lit(" hours. "))).otherwise(". It keeps for 90 hours, chill it. "), F.when(k % 5 == 0, "Marinate overnight.").otherwise("Done."), F.when(k % 3 == 0, "The bowl is hot").otherwise(""),
+    )
+    rows = table(spark, d, "orders").select("o_orderkey", signals.practical(steps).alias("s"))
+    return rows.select("o_orderkey", "s.operations", F.array_join("s.vessels", ",").alias("vessels"), "s.vessel_count", "s.lower_bound", "s.advance")
+
+
+@query("""SELECT l_orderkey, arg_max(name, (m, w, name)) AS major FROM (SELECT l_orderkey, 'p' || l_partkey AS name, CASE WHEN l_linenumber % 3 = 0 THEN l_quantity * 1000 WHEN l_linenumber % 3 = 1 THEN l_quantity ELSE 0 END AS m,
+CASE l_linenumber % 2 WHEN 0 THEN 5 ELSE 1 END AS w FROM lineitem) GROUP BY l_orderkey""")
+def major_protein(spark, d):
+    n = F.col("l_linenumber")
+    item = F.struct(
+        F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("name"), F.when(n % 2 == 0, "meat").otherwise("dairy").alias("category"), F.col("l_quantity").cast("double").alias("quantity"),
+        F.when(n % 3 == 0, "kg").when(n % 3 == 1, "g").alias("unit"), F.lit(True).alias("protein"),
+    )
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(item).alias("items"))
+    return rows.select("l_orderkey", signals.major_protein(F.col("items")).alias("major"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN p_size > 20 WHEN 4 THEN true ELSE false END AS candidate FROM part""")
+def scope_of_paths(spark, d):
+    k, name = F.col("p_partkey") % 6, F.replace("p_name", F.lit(" "), F.lit("-"))
+    path = F.when(k == 0, F.concat(F.lit("docs/"), name, F.lit(".zip"))).when(k == 1, F.concat(F.lit("docs/"), name, F.lit(".md"))).when(k == 2, F.concat(F.lit("a/"), name, F.lit(".md")))
+    path = path.when(k == 3, F.concat(name, F.when(F.col("p_size") > 20, "-recipe.csv").otherwise(".csv"))).when(k == 4, F.concat(F.lit("x/testdata/"), name, F.lit(".json"))).otherwise(F.lit("README.md"))
+    return table(spark, d, "part").select("p_partkey", scope.may_hold_records(path).alias("candidate"))
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 1 THEN 'https://b.example.com/raw.png' WHEN s_suppkey % 4 = 2 AND s_suppkey % 3 = 0 THEN NULL WHEN s_suppkey % 4 = 3 THEN CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 'https://b.example.com/raw.png' END ELSE 'https://a.example.com/own.png' END AS url FROM supplier""")
+def picture_rights(spark, d):
+    k = F.col("s_suppkey")
+    none = F.lit(None).cast("string")
+
+    def image(url, name, license_, allowed, proof):
+        return F.struct(url.alias("url"), F.lit("https://s.example.com/p").alias("source_url"), name.alias("attribution"), license_.alias("license"), allowed.alias("publication_allowed"), proof.alias("permission_evidence"))
+
+    # By remainder of 4: own license; own picture refused; own permission; a license that wants a name. Each third has no proof or is another record's.
+    own = image(
+        F.lit("https://a.example.com/own.png"), F.when(k % 4 == 0, "A. Painter"), F.when(k % 4 == 0, "cc-by-4.0").when(k % 4 == 3, "CC-BY-4.0"), F.when(k % 4 == 1, False).when(k % 4 == 2, True),
+        F.when((k % 4 == 2) & (k % 3 != 0), "https://proof.example.com/1"),
+    )
+    raw = image(F.lit("https://b.example.com/raw.png"), none, F.lit("CC0-1.0"), F.lit(None).cast("boolean"), none)
+    mine = F.when((k % 4 == 1) | ((k % 4 == 3) & (k % 3 != 0)), F.lit(1)).otherwise(2)
+    return table(spark, d, "supplier").select("s_suppkey", scope.picture(own, scope.same_identity(raw, F.lit(1), mine))["url"].alias("url"))
+
+
+def _site(spark, d):
+    label = F.split("p_type", " ")
+    part = table(spark, d, "part")
+    return part.select(
+        F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("title"), F.col("p_retailprice").alias("score"), F.when(F.col("p_size") > 5, F.concat(F.lit("https://x.example.com/"), F.col("p_partkey").cast("string"))).alias("source_url"),
+        signals.facts(F.col("p_size").cast("double"), F.array("p_brand", F.lit("Other"))).alias("facts"), F.array("p_brand").alias("cuisines"), label.alias("meal_types"), F.array(F.lit("Other")).alias("proteins"), label.alias("methods"), tables.time_buckets(F.col("p_size")).alias("times"),
+        F.array("p_type").alias("items"), F.array(F.lit("Mix & <b>")).alias("steps"), F.col("p_brand").alias("attribution"), F.lit(None).cast("string").alias("license"),
+    )
+
+
+@query("SELECT 'p' || p_partkey AS id, 'recipes/p' || p_partkey || '.html' AS url, p_size || ' min · ' || p_brand AS facts, p_size <= 5 AS no_source, false AS forbidden, 1 AS n_steps FROM part")
+def site_pages(spark, d):
+    rows = _site(spark, d)
+    shown = site.detail_pages(rows).select("id", "url", "forbidden", ((F.length("html") - F.length(F.replace("html", F.lit("Mix &amp; &lt;b&gt;"), F.lit("")))) / 19).cast("int").alias("n_steps"))
+    return shown.join(site.index_entries(rows).select("id", "facts", F.col("source_url").isNull().alias("no_source")), "id")
+
+
+@query("SELECT count(*) AS records, count(*) FILTER (p_size <= 5) AS missing_source_urls, CAST(count(DISTINCT p_brand) AS INTEGER) AS n_cuisines, CAST(count(DISTINCT p_type) AS INTEGER) AS n_meal_types, 1 AS n_proteins, CAST(count(DISTINCT p_type) AS INTEGER) AS n_methods FROM part")
+def site_manifest(spark, d):
+    return site.manifest(site.index_entries(_site(spark, d))).drop("n_times")
+
+
+@query("SELECT 'axis' AS \"check\", 'x' AS key WHERE false")
+def site_audit(spark, d):
+    rows = _site(spark, d)
+    return validation.catalog_faults(site.index_entries(rows), site.detail_pages(rows), rows.select("id", F.col("id").alias("representative"), "steps"))
+
+
+@query("""SELECT 'item of an unknown product' AS "check", CAST(l_orderkey AS VARCHAR) AS key FROM lineitem WHERE l_partkey % 50 = 0
+UNION ALL SELECT 'product says too much', CAST(p_partkey AS VARCHAR) FROM part WHERE p_partkey % 50 > 0 AND p_size > 40 UNION ALL SELECT 'product of another URL', CAST(p_partkey AS VARCHAR) FROM part WHERE p_partkey % 50 = 7""")
+def evidence_audit(spark, d):
+    key = F.col("p_partkey").cast("string")
+    host = F.when(F.col("p_partkey") % 50 == 7, "https://other.example.org/x/id_").otherwise("https://www.shop.example.com/x/id_")
+    products = table(spark, d, "part").where("p_partkey % 50 > 0").select(
+        key.alias("product_id"), F.concat(host, key).alias("source_url"), F.lit("likely_available").alias("status"), F.when(F.col("p_size") > 40, True).alias("availability"), F.lit(None).cast("string").alias("store_id"), F.lit("2024-01-01").alias("retrieved_at"),
+    )
+    items = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("item"), F.array(F.col("l_partkey").cast("string")).alias("product_ids"), F.lit(1).alias("n_evidence"), F.lit("likely_available").alias("status"))
+    return validation.evidence_faults(products, items, lambda u: scope.public_product_id(u, "shop.example.com", "/id_([0-9]+)$"))
