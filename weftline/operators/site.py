@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import casefold, display_title, html_escape, page_url, visible_text
+from ..functions.workers import ready
 
 # Units that must not be shown.
 FORBIDDEN = r"(?i)\b(?:tsp|tbsp|teaspoons?|tablespoons?)\b"
@@ -35,6 +36,7 @@ def page(title: Column, body: Column) -> Column:
 
 def index_entries(records: DataFrame) -> DataFrame:
     """What the index shows of records (id, title, score, source_url, facts and the arrays of FACETS): no score, no steps, in no order yet."""
+    ready(records.sparkSession)
     title = display_title(F.col("title"))
     return records.select(
         "id", page_url(F.col("id")).alias("url"), title.alias("title"), casefold(title).alias("sort_title"), "source_url", "facts", *FACETS,

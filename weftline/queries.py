@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import identity, measure
 from .functions import text as tx
+from .functions.workers import ready
 from .operators import classify, evidence, publish, scope, scoring, search, signals, site, tables, validation
 from .plans import flagship as plan
 from .sources import documents as files
@@ -16,7 +17,7 @@ ORACLE_SQL: dict = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def query(sql: str | None = None):

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.workers import ready
 from . import archive, markup, prose
 from .record import RECORD, complete, from_object, objects_in
 
@@ -129,6 +130,7 @@ def parser(layouts: dict | None = None):
 
 def parse_documents(files: DataFrame, path: Column, content: Column, layouts: dict | None = None) -> DataFrame:
     """files with a struct column parsed; content is text or binary. Null paths and contents fail like unreadable files."""
+    ready(files.sparkSession)
     return files.withColumn("parsed", parser(layouts)(path, content.cast("binary")))
 
 
