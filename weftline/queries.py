@@ -327,7 +327,7 @@ WHERE ((a OR contains(' ' || meta || ' ', ' the ')) AND (b OR contains(' ' || me
 def search_ranked(spark, d):
     plain = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
     docs = table(spark, d, "documents")
-    items = F.transform(F.slice(F.split("text", r"\."), 1, 5), lambda x: F.struct(plain(x).alias("canonical"), F.array().cast("array<string>").alias("terms")))
+    items = F.transform(F.split("text", r"\."), lambda x: F.struct(plain(x).alias("canonical"), F.array().cast("array<string>").alias("terms")))
     rows = docs.select("doc_id", plain(F.split("text", "\n")[0]).alias("title"), items.alias("items"), plain(F.concat_ws(" ", "lang", "source", "text")).alias("meta"))
     return search.rank(rows, search.parse_query(list(_TERMS), {}, {}), [F.col("title")], F.col("items"), F.col("meta")).select("doc_id", "n_items", "priority")
 
