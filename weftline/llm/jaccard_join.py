@@ -80,8 +80,8 @@ def set_keys(h: np.ndarray, bound: np.ndarray) -> np.ndarray:
     return np.stack(out, 1)
 
 
-def sketch(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """(id_col, key, sketch): the 16-byte key of the shingle set (null without words) and HASHES MinHash values of 4 bytes."""
+def sketch(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
+    """(keep, key, sketch): the 16-byte key of the shingle set (null without words) and HASHES MinHash values of 4 bytes."""
     ready(df.sparkSession)
 
     def make():
@@ -107,7 +107,7 @@ def sketch(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
 
         return f
 
-    return map_columns(df.select(id_col, text_col), make, {"key": "binary", "sketch": "binary"}, [id_col])
+    return map_columns(df.select(*keep, text_col), make, {"key": "binary", "sketch": "binary"}, keep)
 
 
 @lru_cache(maxsize=8)
@@ -189,20 +189,24 @@ def _compare(units: DataFrame, text_col: str, threshold: float) -> DataFrame:
     """(key, links, root) for the classes of each block pair that have links in it. units is sorted by grp, lo, hi."""
 
     def one(rows: list[dict]) -> pa.RecordBatch | None:
-        seen = {}
-        for r in rows:
-            seen.setdefault(r["key"], r)
-        rows = sorted(seen.values(), key=lambda r: r["key"])
+        rows = sorted(rows, key=lambda r: r["key"])
         h, bound = np.zeros(0, np.uint64), np.zeros(1, np.int64)
         for _, _, data, offsets in slices(pa.array([r["text"] for r in rows], pa.string())):
             own, b = shingle_sets(data, offsets)
             h, bound = np.concatenate([h, own]), np.concatenate([bound, b[1:] + bound[-1]])
-        # An id may stand for several texts; only the class's own text has its key.
-        keys = set_keys(h, bound).tobytes()
-        good = np.array([keys[16 * k : 16 * k + 16] == r["key"] for k, r in enumerate(rows)])
+        # Texts of one id with equal marks may still differ; only the class's own text has its key.
+        keys, own = set_keys(h, bound).tobytes(), {}
+        for k, r in enumerate(rows):
+            if keys[16 * k : 16 * k + 16] == r["key"]:
+                own.setdefault(r["key"], k)
+        if not own:
+            return None
+        at = np.array(list(own.values()))
+        size = np.diff(bound)[at]
+        h, bound, rows = h[ragged(bound[at], size)], np.concatenate([[0], np.cumsum(size)]), [rows[k] for k in at]
         values = np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint32).reshape(len(rows), HASHES)
         block, lo, hi = np.array([r["block"] for r in rows]), rows[0]["lo"], rows[0]["hi"]
-        a, b = (np.flatnonzero(good & (block == k)) for k in (lo, hi))
+        a, b = (np.flatnonzero(block == k) for k in (lo, hi))
 
         def sets(which):
             size = np.diff(bound)[which]
@@ -248,22 +252,26 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, text_col: str = "text"
     class_id is the least id among the documents connected by links; n_links is the number of other documents
     whose similarity with this one is at least threshold (copies of the document included)."""
     spark = docs.sparkSession
-    sketched = written(sketch(docs, text_col, id_col), "sketch")
-    classes = written(sketched.where("key is not null").groupBy("key").agg(F.min(id_col).alias("rep"), F.count("*").alias("w"), F.first("sketch").alias("sketch")), "classes")
+    # An id may be null or stand for several texts; with the text's mark it names the text of a class.
+    mark = fresh("mark", docs.columns)
+    sketched = written(sketch(docs.withColumn(mark, F.xxhash64(text_col)), text_col, [id_col, mark]), "sketch")
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(mark).alias("mark")))
+    classes = sketched.where("key is not null").groupBy("key").agg(first.alias("first"), F.count("*").alias("w"), F.first("sketch").alias("sketch"))
+    classes = written(classes.select("key", F.col("first.id").alias("rep"), F.col("first.mark").alias("mark"), "w", "sketch"), "classes")
     banded = classes.select("key", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.col("sketch").substr(b * (4 * ROWS) + 1, F.lit(4 * ROWS)))).alias("band", "part")).select("key", F.xxhash64("band", "part").alias("bucket"))
     hubs = banded.groupBy("bucket").agg(F.min("key").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
     groups = written(connected_components(banded.join(hubs, "bucket").where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b"))), "groups")
     sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
     candidates = groups.join(sizes, "root").join(classes.withColumnRenamed("key", "node"), "node").select(
-        F.col("root").alias("grp"), F.col("node").alias("key"), "rep", "w", "sketch", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")
+        F.col("root").alias("grp"), F.col("node").alias("key"), "rep", "mark", "w", "sketch", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")
     ).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    texts = docs.select(F.col(id_col).alias("own_id"), F.col(text_col).alias("text"))
-    units = candidates.join(texts, F.col("rep").eqNullSafe(F.col("own_id"))).drop("own_id", "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    texts = docs.select(F.col(id_col).alias("own_id"), F.xxhash64(text_col).alias("own_mark"), F.col(text_col).alias("text"))
+    units = candidates.join(texts, F.col("rep").eqNullSafe(F.col("own_id")) & (F.col("mark") == F.col("own_mark"))).drop("own_id", "rep", "own_mark", "mark").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = units.select("grp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "key", "w", "sketch", "text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = written(_compare(units.repartition(parts, "grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi"), "text", threshold), "links")
     components = written(connected_components(found.select(F.col("key").alias("a"), F.col("root").alias("b"))), "components")
-    reps = classes.drop("sketch")
+    reps = classes.drop("sketch", "mark")
     rooted = components.join(reps, components.node == reps.key).select("node", "root", "rep")
     least = rooted.groupBy("root").agg(F.min("rep").alias("class_rep"))
     joined = rooted.join(least, "root").select(F.col("node").alias("key"), "class_rep")
