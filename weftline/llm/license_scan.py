@@ -1,12 +1,15 @@
 """License scans by an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a document; its set of words is joined with each template's set. A pair meets the
-threshold t if the block contains at least t of the template's distinct words. Words are ordered by their
-frequency over all documents (a first pass counts the templates' words, a fixed number of sums), rarest
-first. A template T needs an overlap of o = ceil(t |T|), so a block must contain one of its first
-|T| - o + 1 words (prefix filter), must have o words of the templates' vocabulary (length filter), and the
-words that can still follow the first common one in both orders must suffice (positional filter). What is
-left is verified by counting. Templates are a parameter of fixed size; nothing is shuffled but the counts.
+A block is a window of consecutive words, wherever lines end; a template of n words has windows of
+ceil(n / t) words, which overlap by all but one word. A window's set of words is joined with the template's
+set. A pair meets the threshold t if the window contains at least t of the template's distinct words. Words
+are ordered by their frequency over all documents (a first pass counts the templates' words, a fixed number
+of sums), rarest first. A template T needs an overlap of o = ceil(t |T|), so a window must contain one of its
+first |T| - o + 1 words (prefix filter). Within reach of that word's windows, o words of the templates'
+vocabulary must stand (length filter), and o distinct ones of T that are this word or follow it in the order
+(positional filter). What is left is verified by counting in each window. Templates are a parameter of fixed
+size; nothing is shuffled but the counts. Of a template's overlapping windows that meet the threshold, the
+best is reported, the first of equals.
 
 Beside the join, fixed phrases are found as consecutive words anywhere in the text, across lines too.
 
@@ -29,6 +32,7 @@ from .common import map_columns, ready
 from .textkit import HashTable, ragged, slices, words
 
 THRESHOLD = 0.9
+PAIRS = 1 << 14  # windows or pairs that are expanded at a time
 
 # Phrases and their labels.
 PHRASES = (
@@ -81,47 +85,77 @@ def count_words(docs: DataFrame, vocabulary: np.ndarray, text_col: str) -> np.nd
 class Templates:
     """Template sets over words numbered from the rarest, with their prefixes as an inverted index."""
 
-    def __init__(self, sets: list[np.ndarray], vocabulary: np.ndarray, frequency: np.ndarray, threshold: float):
+    def __init__(self, sets: list[np.ndarray], length: list[int], vocabulary: np.ndarray, frequency: np.ndarray, threshold: float):
         self.vocabulary = vocabulary[np.lexsort((vocabulary, frequency))]
         number = {int(h): k for k, h in enumerate(self.vocabulary)}
         self.member = np.zeros((len(sets), len(vocabulary)), bool)
         self.size = np.array([len(s) for s in sets])
         self.need = np.array([max(1, ceil(threshold * len(s) - 1e-9)) for s in sets])
-        posting: list[list[tuple[int, int]]] = [[] for _ in vocabulary]
+        self.width = np.array([ceil(n / threshold - 1e-9) for n in length])
+        posting: list[list[int]] = [[] for _ in vocabulary]
         for k, s in enumerate(sets):
             ids = sorted(number[int(h)] for h in s)
             self.member[k, ids] = True
-            for p, word in enumerate(ids[: len(ids) - self.need[k] + 1]):
-                posting[word].append((k, p))
+            for word in ids[: len(ids) - self.need[k] + 1]:
+                posting[word].append(k)
         self.posting_at = np.concatenate([[0], np.cumsum([len(x) for x in posting])])
-        self.posting = np.array([x for some in posting for x in some], np.int64).reshape(-1, 2)
+        self.posting = np.array([x for some in posting for x in some], np.int64)
 
     def table(self) -> HashTable:
         out = HashTable(max(16, len(self.vocabulary)))
         out.put(self.vocabulary, np.arange(len(self.vocabulary), dtype=np.int32))
         return out
 
-    def join(self, block: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Blocks, templates and overlaps of the pairs that meet the threshold, from (block, word number) of the vocabulary's words in blocks."""
-        pairs = np.unique(block * len(self.vocabulary) + word)
-        block, word = pairs // len(self.vocabulary), pairs % len(self.vocabulary)
-        own, first, size = np.unique(block, return_index=True, return_counts=True)
-        own_at = np.searchsorted(own, block)
-        place, size_of = np.arange(len(block)) - first[own_at], size[own_at]
+    def join(self, place: np.ndarray, owner: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First and last word, template and overlap of the best windows that meet the threshold, from places, documents
+        and numbers of the vocabulary's words; first and last are rows of these. Sorted by first word."""
         counts = np.diff(self.posting_at)[word]
         at = np.repeat(np.arange(len(word)), counts)
-        template, position = self.posting[ragged(self.posting_at[word], counts)].T
-        follow = 1 + np.minimum(self.size[template] - 1 - position, size_of[at] - 1 - place[at])
-        # The first common word of a pair in this order bounds the overlap; later ones would bound it too low.
-        pair = own_at[at] * len(self.size) + template
-        _, lead = np.unique(pair, return_index=True)
-        fits = (size_of[at[lead]] >= self.need[template[lead]]) & (follow[lead] >= self.need[template[lead]])
-        lead = lead[fits]
-        b, template = own_at[at[lead]], template[lead]
-        index = ragged(first[b], size[b])
-        overlap = np.bincount(np.repeat(np.arange(len(b)), size[b])[self.member[np.repeat(template, size[b]), word[index]]], minlength=len(b))
-        good = overlap >= self.need[template]
-        return own[b[good]], template[good], overlap[good]
+        template = self.posting[ragged(self.posting_at[word], counts)]
+        order = np.lexsort((at, template))
+        found = [self._windows(place, owner, word, at[order[p : p + PAIRS]], template[order[p : p + PAIRS]]) for p in range(0, len(at), PAIRS)]
+        rows = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 4), np.int64)
+        best, chosen, k = [], rows.tolist(), 0
+        while k < len(chosen):
+            kind, first, last, most = chosen[k]
+            k += 1
+            # Windows that begin before the best one so far ends are windows of the same notice.
+            while k < len(chosen) and chosen[k][0] == kind and chosen[k][1] <= last:
+                if chosen[k][3] > most:
+                    first, last, most = chosen[k][1:]
+                k += 1
+            best.append((first, last, kind, most))
+        return tuple(np.array(sorted(best), np.int64).reshape(-1, 4).T)
+
+    def _windows(self, place, owner, word, anchor, template) -> np.ndarray:
+        """(template, first row, last row, overlap) of the windows around anchors that meet the threshold."""
+        key = owner * (int(place[-1]) + 2 * int(self.width.max())) + place  # a document's windows end with it
+        width = self.width[template]
+        low, high = np.searchsorted(key, key[anchor] - width, "right"), np.searchsorted(key, key[anchor] + width)
+        enough = high - low >= self.need[template]
+        anchor, template, low, high = anchor[enough], template[enough], low[enough], high[enough]
+        pair, row = np.repeat(np.arange(len(anchor)), high - low), ragged(low, high - low)
+        own = self.member[template[pair], word[row]] & (word[row] >= word[anchor[pair]])
+        pair, row = pair[own], row[own]
+        distinct = np.unique(pair * len(self.vocabulary) + word[row]) // len(self.vocabulary)
+        enough = np.bincount(distinct, minlength=len(anchor)) >= self.need[template]
+        pair, row = pair[enough[pair]], row[enough[pair]]
+        # Each window begins with a word of its template; the same one may have several anchors.
+        start = np.unique(template[pair] * len(word) + row)
+        out = [np.zeros((0, 4), np.int64)]
+        for p in range(0, len(start), PAIRS):
+            kind, begin = start[p : p + PAIRS] // len(word), start[p : p + PAIRS] % len(word)
+            size = np.searchsorted(key, key[begin] + self.width[kind]) - begin
+            window, row = np.repeat(np.arange(len(begin)), size), ragged(begin, size)
+            own = self.member[kind[window], word[row]]
+            window, row = window[own], row[own]
+            _, new = np.unique(window * len(self.vocabulary) + word[row], return_index=True)  # a word's first place in a window
+            overlap = np.bincount(window[new], minlength=len(begin))
+            last = np.zeros(len(begin), np.int64)
+            np.maximum.at(last, window[new], row[new])
+            good = overlap >= self.need[kind]
+            out.append(np.stack([kind, begin, last, overlap], 1)[good])
+        return np.concatenate(out)
 
 
 ADDED = {
@@ -137,11 +171,12 @@ def _lists(doc: np.ndarray, n: int, fields: dict[str, pa.Array]) -> pa.Array:
 
 
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs with n_words, phrases (label and first word of every place) and matches (label, the words' extent in
-    bytes, containment of every block and template that meet the threshold)."""
-    sets = [np.unique(_hashes(text)) for text, _ in templates]
+    """docs with n_words, phrases (label and first word of every place) and matches (label, extent in bytes,
+    containment of the best windows that meet a template's threshold)."""
+    hashed = [_hashes(text) for text, _ in templates]
+    sets = [np.unique(h) for h in hashed]
     vocabulary = np.unique(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
-    joined = Templates(sets, vocabulary, count_words(docs, vocabulary, text_col), threshold)
+    joined = Templates(sets, [len(h) for h in hashed], vocabulary, count_words(docs, vocabulary, text_col), threshold)
     wanted = [(_hashes(text), label) for text, label in phrases]
     shared = ready(docs.sparkSession).sparkContext.broadcast((joined, [label for _, label in templates], wanted))
 
@@ -170,10 +205,8 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, thresho
                 word = table.get(h)
                 known = np.flatnonzero(word >= 0)
                 owner = np.searchsorted(first, known, "right") - 1
-                line = np.searchsorted(np.flatnonzero(data == 10), start[known]) + owner
-                block, template, overlap = joined.join(line, word[known].astype(np.int64))
-                a, b = np.searchsorted(line, block), np.searchsorted(line, block, "right") - 1
-                doc = owner[a] if len(a) else np.zeros(0, np.int64)
+                a, b, template, overlap = joined.join(known, owner, word[known].astype(np.int64))
+                doc = owner[a]
                 matched = _lists(
                     doc,
                     n,
