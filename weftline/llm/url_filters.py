@@ -13,7 +13,7 @@ hot hosts.
 
 Cases: a null or malformed URL, or a null fetch day, matches nothing; repeated changes and an add of a key
 that is on the list already change nothing; a "remove" on the same day as an "add" comes after it; repeated
-captures are judged alike; captures' other columns pass through, one with an output's name is replaced; an
+captures are judged alike; upper case in a key's host is folded, also in matched_keys; captures' other columns pass through, one with an output's name is replaced; an
 empty list blocks nothing.
 """
 
@@ -31,6 +31,8 @@ def validity_intervals(changes: DataFrame) -> DataFrame:
     """(key, category, valid_from, valid_to) with valid_to exclusive, null while the key stays on the list."""
     w = Window.partitionBy("key", "category").orderBy("day", "off")
     # A key's own changes only; a list dates a key a handful of times.
+    host = F.substring_index("key", "/", 1)
+    changes = changes.withColumn("key", F.concat(F.lower(host), F.substr("key", F.length(host) + 1)))
     rows = changes.where("key is not null and category is not null and day is not null").select("key", "category", "day", (F.col("action") == "remove").alias("off")).distinct()
     turns = rows.withColumn("before", F.lag("off", 1, True).over(w)).where("off <> before")
     return turns.withColumn("valid_to", F.lead("day").over(w)).where("not off").select("key", "category", F.col("day").alias("valid_from"), "valid_to").where("valid_to is null or valid_from < valid_to")
@@ -41,10 +43,10 @@ def url_host(url: Column) -> Column:
 
 
 def url_keys(url: Column, labels_deep: int, path_deep: int) -> Column:
-    """The host, its parent domains of 2 to labels_deep labels, and the host with the first 1 to path_deep parts of the path."""
+    """The host, its parent domains of 1 to labels_deep labels, and the host with the first 1 to path_deep parts of the path."""
     host = F.regexp_replace(url_host(url), r"\.$", "")
     labels = F.split(host, r"\.")
-    domains = F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.least(F.size(labels), F.lit(labels_deep)))), lambda n: F.array_join(F.slice(labels, -F.least(n, F.size(labels)), F.least(n, F.size(labels))), "."))
+    domains = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.size(labels), F.lit(labels_deep)))), lambda n: F.array_join(F.slice(labels, -n, n), "."))
     path = F.filter(F.split(F.regexp_extract(url, r"^[A-Za-z]+://[^/?#]+/([^?#]*)", 1), "/"), lambda x: x != "")
     paths = F.transform(F.filter(F.sequence(F.lit(1), F.lit(max(1, path_deep))), lambda n: n <= F.size(path)), lambda n: F.concat_ws("/", host, F.array_join(F.slice(path, F.lit(1), n), "/")))
     return F.when(F.coalesce(host, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(domains, F.array(host), paths)))
