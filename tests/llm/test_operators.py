@@ -125,6 +125,7 @@ def shingle_sets(texts):
 
 def test_jaccard_join(spark, odd, none, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "TILE", 3)
     rng = random.Random(3)
     base = [[f"w{rng.randint(0, 400)}" for _ in range(rng.randint(1, 120))] for _ in range(12)]
     texts = list(TEXTS)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 from pathlib import Path
 
 import pyarrow as pa
@@ -31,11 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; set here only where the cluster names none."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "/tmp/weftline-checkpoints"
-    return path
+    """The folder that the driver and all executors share: the one that the cluster names, else the warehouse."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+
+
+#: Folders that written() made and nothing has deleted yet, oldest first.
+_made: list[str] = []
 
 
 def written(df: DataFrame, what: str = "table") -> DataFrame:
@@ -43,7 +46,34 @@ def written(df: DataFrame, what: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weftline/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _made.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._weftline_path = path
+    return out
+
+
+def dropped(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes what written() made, once nothing reads it."""
+    for table in tables:
+        _delete(spark, table._weftline_path)
+
+
+def dropped_but(spark: SparkSession, kept: DataFrame, since: int = 0) -> None:
+    """Deletes all that written() made after the first `since` tables, but for one."""
+    for path in _made[since:]:
+        if path != kept._weftline_path:
+            _delete(spark, path)
+
+
+def n_written() -> int:
+    return len(_made)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    if path in _made:
+        _made.remove(path)
 
 
 def fresh(name: str, columns: list[str]) -> str:
@@ -54,11 +84,27 @@ def fresh(name: str, columns: list[str]) -> str:
     return name
 
 
-def dropped(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes what written() made, once nothing reads it."""
-    for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+#: A key with more than this share (1 / PIECES) of a join's rows is cut into pieces.
+PIECES = 256
+
+
+def spread_join(big: DataFrame, small: DataFrame, on: list[str], rows: str, total: int, how: str = "inner") -> DataFrame:
+    """big joined with small, which has a row for each key; a hot key's rows go to several tasks.
+
+    rows: small's column that says how many rows of big have the key, dropped afterwards. total: big's rows, or
+    more. A key of more than total / PIECES rows is cut into pieces of that size. There are at most PIECES such
+    keys, which bounds their broadcast, and small grows by at most 2 * PIECES rows. big's rows must differ, as a
+    hash of the whole row chooses its piece; rows with a null key are spread too."""
+    spread, salt = fresh("_spread", [*big.columns, *small.columns]), fresh("_salt", [*big.columns, *small.columns])
+    size = max(1, -(-total // PIECES))
+    many = F.ceil(F.col(rows) / F.lit(size)).cast("int")
+    hot = small.where(F.col(rows) > size).select(*on, many.alias(spread))
+    no_key = reduce(or_, (F.col(c).isNull() for c in on))
+    piece = F.when(no_key, PIECES).otherwise(F.coalesce(F.col(spread), F.lit(1)))
+    left = big.join(F.broadcast(hot), on, "left").withColumn(salt, F.pmod(F.xxhash64(*big.columns), piece).cast("int")).drop(spread)
+    copies = F.sequence(F.lit(0), F.when(F.col(rows) > size, many).otherwise(1) - 1)
+    right = small.withColumn(salt, F.explode(copies)).drop(rows)
+    return left.join(right, [*on, salt], how).drop(salt)
 
 
 def release() -> None:
