@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -176,22 +177,52 @@ def measures(t):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(cover)
 
 
-def test_quality_rules(spark, odd, none):
-    more = [("a b c a b c x", "# *\n# *\n\n# *", "x " * 60, "good " * 3 + " ".join(f"w{i}" for i in range(80)))]
-    docs = odd.unionByName(spark.createDataFrame([(90 + i, t, None, None) for i, t in enumerate(more[0])], odd.schema))
+def good(t):
+    """Whether no quality rule rejects a text."""
+    n, chars, symbols, dup, rep = measures(t)
+    w = INK.findall(t or "")
+    top, pair = (max(Counter(x).values(), default=0) for x in (w, zip(w, w[1:], strict=False)))
+    return not (n < 50 or 100 * rep > 50 * n or 5 * symbols > n or chars < 2 * n or chars > 40 * n or 2 * dup > n or 100 * top > 30 * n or 200 * pair > 20 * n)
+
+
+def test_quality_rules(spark, odd, none, monkeypatch):
+    more = ["a b c a b c x", "# *\n# *\n\n# *", "x " * 60, "good " * 3 + " ".join(f"w{i}" for i in range(80)), " | ".join(f"cell{i}" for i in range(70)), " ".join(f"so do{i % 9} w{i} on" for i in range(90)), " ".join(f"w{i}" for i in range(40_000)) + " w1 w2 w3 w4"]
+    docs = odd.unionByName(spark.createDataFrame([(90 + i, t, None, None) for i, t in enumerate(more)], odd.schema))
     rows = quality_rules.apply_rules(docs).collect()
-    assert len(rows) == len(TEXTS) + 6
+    assert len(rows) == len(TEXTS) + 2 + len(more)
     for r in rows:
         n, chars, symbols, dup, rep = measures(r["text"])
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (n, chars, symbols, dup, rep)
-        base = n < 50 or 100 * rep > 50 * n
-        assert r["base_failed"] == base
-        assert r["kept"] == (not base and not (5 * symbols > n or chars < 2 * n or chars > 40 * n or 2 * dup > n))
+        assert r["base_failed"] == (n < 50 or 100 * rep > 50 * n)
+        assert r["kept"] == good(r["text"])
+    assert {r["doc_id"] for r in rows if r["kept"]} == {93, 96}
     kept = quality_rules.keep_good(docs)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in rows if r["kept"])
     for order in (quality_rules.RULES, quality_rules.RULES[::-1]):
         assert [r["kept"] for r in quality_rules.apply_rules(docs, order=list(order)).collect()] == [r["kept"] for r in rows]
-    assert quality_rules.apply_rules(none).count() == 0
+    monkeypatch.setattr(quality_rules, "PACKED", 3)
+    assert [r["n_repeat_words"] for r in quality_rules.apply_rules(docs).collect()] == [r["n_repeat_words"] for r in rows]
+    assert quality_rules.apply_rules(none).count() == quality_rules.keep_good(none).count() == 0
+    clash = quality_rules.apply_rules(docs.withColumn("N_WORDS", F.lit("mine")).withColumn("kept", F.lit(1)).withColumn("_words", F.lit("w")))
+    assert [(r["kept"], r["_words"]) for r in clash.collect()] == [(r["kept"], "w") for r in rows]
+
+
+def test_later_rules_do_not_run(spark, odd):
+    """A rule that would raise stands behind rules that reject every row."""
+    few = quality_rules.Rule("few", lambda m: m("n_words") < 10**9)
+    fatal = quality_rules.Rule("fatal", lambda m: F.raise_error(F.concat(F.lit("ran: "), m("n_top_word").cast("string"))).cast("boolean"))
+    rows = quality_rules.apply_rules(odd, rules=(few, fatal), order=[few, fatal]).collect()
+    assert len(rows) == len(TEXTS) + 2 and not any(r["kept"] for r in rows)
+    with pytest.raises(Exception, match="ran: "):
+        quality_rules.apply_rules(odd, rules=(few, fatal), order=[fatal, few]).collect()
+
+
+def test_order_by_rejections_and_cost(spark):
+    docs = spark.createDataFrame([(i, "a b " * 400 if i % 2 else "c " * 30) for i in range(200)], "doc_id long, text string")
+    dear = quality_rules.Rule("dear", lambda m: m("n_top_pair") + m("n_repeat_words") + m("n_top_word") < 0)
+    cheap = quality_rules.Rule("cheap", lambda m: m("n_words") < 50)
+    never = quality_rules.Rule("never", lambda m: m("n_words") < 0)
+    assert [r.name for r in quality_rules.rule_order(docs, (dear, never, cheap))] == ["cheap", "never", "dear"]
 
 
 def test_chat_format(spark):

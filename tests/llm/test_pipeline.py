@@ -10,7 +10,7 @@ DATA = "/root/testdata/sf0.001"
 
 
 def test_stages(spark):
-    from tests.llm.test_operators import leaks, measures, shingle_sets
+    from tests.llm.test_operators import good as passes, leaks, shingle_sets
     from tokenizers import Tokenizer
 
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
@@ -18,11 +18,7 @@ def test_stages(spark):
     stages = [f for _, f in corpus_pipeline.STAGES]
     assert len(stages) == 5
     good = stages[0](spark, docs, DATA).cache()
-    want = set()
-    for k, r in before.items():
-        n, chars, symbols, dup, rep = measures(r["text"])
-        if not (n < 50 or 100 * rep > 50 * n or 5 * symbols > n or chars < 2 * n or chars > 40 * n or 2 * dup > n):
-            want.add(k)
+    want = {k for k, r in before.items() if passes(r["text"])}
     assert {r["doc_id"] for r in good.collect()} == want and good.columns == docs.columns
     clean = stages[1](spark, good, DATA).cache()
     assert {r["doc_id"] for r in clean.collect()} <= want and clean.columns == docs.columns

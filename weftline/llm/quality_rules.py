@@ -1,30 +1,32 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-The measures are per-row expressions; nothing is shuffled. Each rule's rejections and its cost (seconds
-that Spark takes to evaluate it) are estimated on a bounded sample of SAMPLE_ROWS rows, and the rules are
-put in order greedily by rejections among the rows that earlier rules leave, per cost. A CASE in this
-order decides each row, so a dear rule runs only for rows that cheaper ones kept. The order changes the
-speed, never a verdict.
+The measures are per-row expressions; nothing is shuffled but sums. Each rule's rejections and its cost are
+estimated in one pass over a sample of about SAMPLE_ROWS rows (each row is drawn with the same chance, from a
+count): around every rule's condition the clock is read in the row itself. Rules are put in order greedily by
+rejections among the rows that earlier rules leave, per cost. A CASE in this order decides each row, so a dear
+rule runs only for rows that cheaper ones kept; measures that only such a rule needs (LAZY) are made nowhere
+else. The order changes the speed, never a verdict.
 
-Repeated three-word windows are found by sorting, in each row, the windows' 64-bit hashes, of which the
-low bits (as many as the row's number of words needs) give way to the window's place.
+A text's words are hashed once to 64 bits, and the measures work on the hashes. Repeated three-word windows are
+found by sorting a row's window hashes. Up to PACKED words, hash and place share 64 bits, of which at least 49
+are the hash's; longer texts sort whole hashes.
 
 Cases: null text counts as empty, has no words and is rejected; repeated rows and other columns pass
-through (a column with a measure's name is replaced); an empty table gives an empty table.
+through (a column with a measure's name is replaced, in any case of letters); an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, written
+from .common import fresh
 
 SAMPLE_ROWS = 512
+PACKED = 1 << 15
 _INK = r"[^\x20\x09-\x0D]"
 _BLANK = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
@@ -39,62 +41,77 @@ def _text(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def word_list(text: Column) -> Column:
-    return F.regexp_extract_all(_text(text), F.lit(f"{_INK}+"), F.lit(0))
+def hashed_words(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(_text(text), F.lit(f"{_INK}+"), F.lit(0)), lambda w: F.xxhash64(w))
 
 
-def n_words(text: Column) -> Column:
-    return F.regexp_count(_text(text), F.lit(f"{_INK}+")).cast("bigint")
+def n_words(text: Column, words: Column) -> Column:
+    return F.size(words).cast("bigint")
 
 
-def word_chars(text: Column) -> Column:
+def word_chars(text: Column, words: Column) -> Column:
     return F.length(F.translate(_text(text), _BLANK, "")).cast("bigint")
 
 
-def n_symbols(text: Column) -> Column:
+def n_symbols(text: Column, words: Column) -> Column:
     return (F.length(_text(text)) - F.length(F.translate(_text(text), _SYMBOLS, ""))).cast("bigint")
 
 
-def n_lines(text: Column) -> Column:
-    return F.size(F.filter(F.split(_text(text), "\n"), lambda x: x.rlike(_INK))).cast("bigint")
-
-
-def n_dup_lines(text: Column) -> Column:
+def n_dup_lines(text: Column, words: Column) -> Column:
     lines = F.filter(F.split(_text(text), "\n"), lambda x: x.rlike(_INK))
     return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint")
 
 
-def n_repeat_words(text: Column) -> Column:
+def _window(words: Column, i: Column, size: int) -> Column:
+    return F.get(words, i) if size == 1 else F.xxhash64(*(F.get(words, i + k) for k in range(size)))
+
+
+def n_repeat_words(text: Column, words: Column) -> Column:
     """Words in three-word windows found twice or more in the text."""
+    n = F.size(words)
 
-    def covered(places: Column) -> Column:
-        gaps = F.transform(places, lambda x, i: F.least(F.lit(3).cast("bigint"), F.coalesce(F.get(places, i + 1), x + 3) - x))
-        return F.aggregate(gaps, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    def packed(i: Column, bits: Column) -> Column:
+        return F.call_function("shiftleft", F.call_function("shiftright", _window(words, i, 3), bits), bits).bitwiseOR(i.cast("bigint"))
+
+    def unpacked(x: Column, bits: Column) -> Column:
+        low = F.call_function("shiftleft", F.lit(1).cast("bigint"), bits) - 1
+        return F.struct(F.call_function("shiftright", x, bits).alias("h"), x.bitwiseAND(low).alias("at"))
 
-    def places(keys: Column, bits: Column) -> Column:
+    places = F.sequence(F.lit(0), n - 3)
+    short = let(F.length(F.bin(n.cast("bigint"))).cast("int"), lambda bits: F.transform(F.sort_array(F.transform(places, lambda i: packed(i, bits))), lambda x: unpacked(x, bits)))
+    long = F.sort_array(F.transform(places, lambda i: F.struct(_window(words, i, 3).alias("h"), i.cast("bigint").alias("at"))))
+
+    def twice(keys: Column) -> Column:
         def same(x: Column, other: Column) -> Column:
-            return F.coalesce(F.call_function("shiftright", x, bits) == F.call_function("shiftright", other, bits), F.lit(False))
+            return F.coalesce(x["h"] == other["h"], F.lit(False))
 
         # Beyond the last key, get() gives null; before the first, index -1 does.
-        twice = F.filter(keys, lambda x, i: same(x, F.get(keys, i - 1)) | same(x, F.get(keys, i + 1)))
-        low = F.call_function("shiftleft", F.lit(1).cast("bigint"), bits) - 1
-        return F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(low)))
+        return F.sort_array(F.transform(F.filter(keys, lambda x, i: same(x, F.get(keys, i - 1)) | same(x, F.get(keys, i + 1))), lambda x: x["at"]))
+
+    def covered(found: Column) -> Column:
+        gaps = F.transform(found, lambda x, i: F.least(F.lit(3).cast("bigint"), F.coalesce(F.get(found, i + 1), x + 3) - x))
+        return F.aggregate(gaps, F.lit(0).cast("bigint"), lambda a, x: a + x)
+
+    return F.when(n < 4, F.lit(0).cast("bigint")).otherwise(let(let(F.when(n < PACKED, short).otherwise(long), twice), covered))
+
 
-    def windows(hashes: Column) -> Column:
-        n = F.size(hashes)
-        bits = F.length(F.bin(n.cast("bigint"))).cast("int")
+def most_frequent(size: int) -> Callable[[Column, Column], Column]:
+    """A measure: how often the text's most frequent window of so many words stands in it."""
 
-        def key(i: Column, bits: Column) -> Column:
-            h = F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1), F.get(hashes, i + 2))
-            return F.call_function("shiftleft", F.call_function("shiftright", h, bits), bits).bitwiseOR(i.cast("bigint"))
+    def measure(text: Column, words: Column) -> Column:
+        def longest_run(keys: Column) -> Column:
+            ends = F.filter(F.sequence(F.lit(1), F.size(keys)), lambda i: ~F.get(keys, i - 1).eqNullSafe(F.get(keys, i)))
+            return let(ends, lambda e: F.array_max(F.transform(e, lambda x, i: x - F.coalesce(F.get(e, i - 1), F.lit(0)))))
 
-        found = let(bits, lambda b: let(F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), lambda i: key(i, b))), lambda k: let(places(k, b), covered)))
-        return F.when(n < 4, F.lit(0).cast("bigint")).otherwise(found)
+        keys = F.sort_array(F.transform(F.sequence(F.lit(0), F.size(words) - size), lambda i: _window(words, i, size)))
+        return F.when(F.size(words) < size, F.lit(0)).otherwise(let(keys, longest_run)).cast("bigint")
 
-    return let(F.transform(word_list(text), lambda w: F.xxhash64(w)), windows)
+    return measure
 
 
+#: Measures that every row gets, and those that only the rules that ask for them make.
 MEASURES = {"n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": n_dup_lines, "n_repeat_words": n_repeat_words}
+LAZY = {"n_top_word": most_frequent(1), "n_top_pair": most_frequent(2)}
 
 
 @dataclass(frozen=True)
@@ -113,57 +130,69 @@ RULES = (
     Rule("short_words", lambda m: m("word_chars") < 2 * m("n_words")),
     Rule("long_words", lambda m: m("word_chars") > 40 * m("n_words")),
     Rule("duplicate_lines", lambda m: 2 * m("n_dup_lines") > m("n_words")),
+    Rule("top_word", lambda m: 100 * m("n_top_word") > 30 * m("n_words")),
+    Rule("top_pair", lambda m: 100 * 2 * m("n_top_pair") > 20 * m("n_words")),
 )
 
 
-def _from_text(text: Column) -> Callable[[str], Column]:
-    return lambda name: MEASURES[name](text)
+def _measures(text: Column, words: Column, ready: tuple[str, ...] = ()) -> Callable[[str], Column]:
+    """Measures by name: a column where it is ready, else the expression."""
+    return lambda name: F.col(name) if name in ready else (MEASURES | LAZY)[name](text, words)
 
 
 def rule_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Rules in the order of rejections per second on a sample, each judged on what those before it leave."""
-    measure = _from_text(F.col(text_col))
-    sample = written(docs.select(text_col).where(F.pmod(F.xxhash64(text_col), F.lit(8)) == 0).limit(sample_rows), "sample")
-    flags = [F.coalesce(r.reject(measure), F.lit(False)).alias(f"r{k}") for k, r in enumerate(rules)]
-    outcomes = sample.select(*flags).groupBy(*(f"r{k}" for k in range(len(rules)))).count().collect()  # at most 2^rules rows
-    cost = []
-    for flag in flags:
-        took = []
-        for _ in range(2):  # the first run compiles
-            began = time.perf_counter()
-            sample.where(flag).agg(F.count("*")).collect()
-            took.append(time.perf_counter() - began)
-        cost.append(min(took))
+    """Rules in the order of rejections per nanosecond on a sample, each judged on what those before it leave."""
+    text = F.col(text_col)
+
+    def clock() -> Column:
+        return F.call_function("reflect", F.lit("java.lang.System"), F.lit("nanoTime")).cast("bigint")
+
+    def timed(words: Column) -> Column:
+        measure, parts = _measures(text, words), [clock().alias("idle"), clock().alias("t0")]
+        for k, rule in enumerate(rules):
+            parts += [F.coalesce(rule.reject(measure), F.lit(False)).alias(f"r{k}"), clock().alias(f"t{k + 1}")]
+        return F.struct(*parts)
+
+    share = min(1.0, sample_rows / max(1, docs.count()))
+    sample = docs.where(F.rand(11) < share).select(let(hashed_words(text), timed).alias("x"))
+    idle = F.sum(F.col("x.t0") - F.col("x.idle")).alias("idle")
+    spent = [F.sum(F.col(f"x.t{k + 1}") - F.col(f"x.t{k}")).alias(f"c{k}") for k in range(len(rules))]
+    outcomes = sample.groupBy(*(F.col(f"x.r{k}").alias(f"r{k}") for k in range(len(rules)))).agg(F.count("*").alias("n"), idle, *spent).collect()  # at most 2^rules rows
+    cost = [max(1, sum(o[f"c{k}"] - o["idle"] for o in outcomes)) for k in range(len(rules))]
     left, order = set(range(len(rules))), []
     while left:
-        gone = {k: sum(o["count"] for o in outcomes if o[f"r{k}"]) for k in left}
+        gone = {k: sum(o["n"] for o in outcomes if o[f"r{k}"]) for k in left}
         best = max(sorted(left), key=lambda k: (gone[k] / cost[k], -cost[k]))
         order.append(rules[best])
         left.remove(best)
         outcomes = [o for o in outcomes if not o[f"r{best}"]]
-    dropped(docs.sparkSession, sample)
     return order
 
 
 def verdict(order: list[Rule], measure: Callable[[str], Column]) -> Column:
     """True if no rule rejects; rules after the first that does aren't evaluated."""
-    out = None
+    out = F
     for rule in order:
-        out = F.when(rule.reject(measure), F.lit(False)) if out is None else out.when(rule.reject(measure), F.lit(False))
-    return out.otherwise(F.lit(True)) if out is not None else F.lit(True)
+        out = out.when(rule.reject(measure), F.lit(False))
+    return out.otherwise(F.lit(True)) if order else F.lit(True)
 
 
 def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", order: list[Rule] | None = None) -> DataFrame:
     """docs with all measures, base_failed (a base rule rejects) and kept."""
     order = rule_order(docs, rules, text_col) if order is None else order
-    out = docs.select(*(c for c in docs.columns if c not in MEASURES), *(f(F.col(text_col)).alias(name) for name, f in MEASURES.items()))
-    base = F.lit(False)
+    added = [*MEASURES, "base_failed", "kept"]
+    kept = [c for c in docs.columns if c.lower() not in added]
+    words, text = fresh("_words", docs.columns), fresh("_text", docs.columns)
+    source = docs.select(*kept, F.col(text_col).alias(text), hashed_words(F.col(text_col)).alias(words))
+    measured = source.select(*kept, text, words, *(f(F.col(text), F.col(words)).alias(name) for name, f in MEASURES.items()))
+    measure, base = _measures(F.col(text), F.col(words), tuple(MEASURES)), F.lit(False)
     for rule in rules:
         if rule.base:
-            base = base | rule.reject(F.col)
-    return out.withColumns({"base_failed": base, "kept": verdict(order, F.col)})
+            base = base | rule.reject(measure)
+    return measured.select(*kept, *MEASURES, base.alias("base_failed"), verdict(order, measure).alias("kept"))
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """The rows that no rule rejects, with docs' columns; measures are evaluated only as far as the cascade goes."""
-    return docs.where(verdict(rule_order(docs, rules, text_col), _from_text(F.col(text_col))))
+    order = rule_order(docs, rules, text_col)
+    return docs.where(let(hashed_words(F.col(text_col)), lambda words: verdict(order, _measures(F.col(text_col), words))))

@@ -175,11 +175,14 @@ WITH doc AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coale
 tri AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, w[p], w[p + 1], w[p + 2]) AS n FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS p FROM doc WHERE len(w) >= 3)),
 rep AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS q FROM tri WHERE n > 1) GROUP BY doc_id),
 lines AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM doc) WHERE regexp_matches(l, '{_INK}') GROUP BY doc_id),
+top_word AS (SELECT doc_id, max(c) AS n FROM (SELECT doc_id, count(*) AS c FROM (SELECT doc_id, unnest(w) AS x FROM doc) GROUP BY doc_id, x) GROUP BY doc_id),
+top_pair AS (SELECT doc_id, max(c) AS n FROM (SELECT doc_id, count(*) AS c FROM (SELECT doc_id, unnest(list_zip(w[1 : len(w) - 1], w[2 : len(w)])) AS x FROM doc WHERE len(w) >= 2) GROUP BY doc_id, x) GROUP BY doc_id),
 measured AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
-  CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
-  FROM doc LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id))
-SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 5 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 40 * n_words OR 2 * n_dup_lines > n_words) AS kept
+  CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+  coalesce(top_word.n, 0) AS n_top_word, coalesce(top_pair.n, 0) AS n_top_pair FROM doc LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN top_word USING (doc_id) LEFT JOIN top_pair USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 5 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 40 * n_words OR 2 * n_dup_lines > n_words
+    OR 100 * n_top_word > 30 * n_words OR 200 * n_top_pair > 20 * n_words) AS kept
 FROM measured
 """
 
