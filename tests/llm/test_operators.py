@@ -338,13 +338,6 @@ def test_lm_scoring(spark, odd, none):
     assert maxent_lm.score_lm(none, F.lit(True)).count() == 0
 
 
-def test_lm_probabilities_sum_to_one():
-    rng = np.random.default_rng(0)
-    w = rng.normal(size=(maxent_lm.FEATURES, maxent_lm.CLASSES)).astype(np.float32)
-    f = rng.integers(1, maxent_lm.FEATURES, (4, 50)).astype(np.int32)
-    assert np.allclose(np.exp(maxent_lm.class_logs(w, f)).sum(1), 1, atol=1e-4)
-
-
 def test_words_by_bytes():
     texts = ["A-b Cé 1_2", "", "éè", "x"]
     (_, _, data, offsets), *_ = slices(pa.array(texts))
