@@ -10,7 +10,7 @@ number of conversations, bounds a row.
 Cases: null role and null text count as empty; turns are ordered by (turn, role, text), so ties and
 repeated rows keep a definite order; null conversation ids form one conversation; roles outside the
 machine make a conversation invalid but are formatted all the same; extra columns are ignored; an empty
-table gives an empty table.
+table gives an empty table. A template whose marks could not be told from texts is an error (Template.check).
 """
 
 from __future__ import annotations
@@ -23,18 +23,49 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Template:
-    """open + role + middle + text + close for each turn. escapes: what stands for a control string inside
-    texts; the first one must be of the escape character itself. role_escapes: more of them inside roles."""
+    """open + role + middle + text + close for each turn.
+
+    escapes: what stands for a control string inside texts, the escape character's own first; role_escapes: more of
+    them inside roles. Where they aren't given, they follow from the marks: open and close (without blanks around
+    them) inside texts, and middle too inside roles."""
 
     open: str = "### "
     middle: str = ": "
     close: str = "</turn>\n"
-    escapes: tuple[tuple[str, str], ...] = (("\\", "\\b"), ("###", "\\h"), ("</turn>", "\\e"))
-    role_escapes: tuple[tuple[str, str], ...] = ((":", "\\c"),)
+    escapes: tuple[tuple[str, str], ...] = ()
+    role_escapes: tuple[tuple[str, str], ...] = ()
     loss_roles: tuple[str, ...] = ("assistant",)
     #: state (the role before, or "start") to the roles that may follow
     turns: dict[str, tuple[str, ...]] = field(default_factory=lambda: {"start": ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)})
     final: tuple[str, ...] = ("assistant",)
+    escape_char: str = "\\"
+
+    def __post_init__(self):
+        marks = [m.strip() or m for m in (self.open, self.close, self.middle)]
+        letters = [c for c in "hecbdfgijklmnop" if not any(m.startswith(c) for m in marks)]
+        codes = [(m, self.escape_char + c) for m, c in zip(marks, letters, strict=False)]
+        if not self.escapes:
+            object.__setattr__(self, "escapes", ((self.escape_char, self.escape_char + letters[3]), *codes[:2]))
+        if not self.role_escapes:
+            object.__setattr__(self, "role_escapes", (codes[2],))
+        self.check()
+
+    def check(self) -> None:
+        """Raises ValueError unless every formatted conversation can be read back."""
+        pairs = self.escapes + self.role_escapes
+        controls, codes = [c for c, _ in pairs[1:]], [c for _, c in pairs]
+        mark = self.escape_char
+        if len(mark) != 1 or pairs[0][0] != mark or any(len(c) != 2 or c[0] != mark or c[1] == mark for c in codes) or len(set(codes)) < len(codes):
+            raise ValueError("codes are the escape character and one other character each, the escape character's own comes first")
+        if not all(controls) or any(mark in x for x in (*controls, self.open, self.middle, self.close)) or any(c.startswith(x[1]) for c in controls for x in codes):
+            raise ValueError("a control string may hold no escape character and may not begin like a code")
+        if not (self.open and self.middle and self.close):
+            raise ValueError("marks may not be empty")
+        inside_texts = [c for c, _ in self.escapes]
+        if not all(any(c in x for c in inside_texts) for x in (self.open, self.close)) or not any(c in self.middle for c in (*inside_texts, *controls)):
+            raise ValueError("an open or close mark must hold a control string of texts, the middle mark one of roles")
+        if any(x[:k] == x[-k:] for x in (self.middle, self.close) for k in range(1, len(x))):
+            raise ValueError("a mark that begins as it ends can't be found again beside a text")
 
 
 def escape(text: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
@@ -81,7 +112,8 @@ def format_chat(turns: DataFrame, template: Template | None = None) -> DataFrame
 def read_back(formatted: DataFrame, template: Template | None = None) -> DataFrame:
     """formatted with turns array<struct<role, text>> and loss_text (the text under the loss mask, unescaped), from format_chat's output alone."""
     t = template or Template()
-    parts = F.filter(F.split("formatted", t.close.replace("/", "\\/")), lambda x: x != "")
+    quoted = "\\Q" + t.close.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+    parts = F.filter(F.split("formatted", quoted), lambda x: x != "")
     turns = F.transform(
         parts,
         lambda x: F.struct(
