@@ -9,8 +9,9 @@ suffix positions, and the word spans that they cover are merged into removal spa
 A phrase is a window of ``window`` consecutive words of an item; an item of fewer words, but not none, is
 one phrase. Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after lower-casing A-Z.
 
-The benchmark is read in blocks of at most BLOCK_WORDS words; each block is broadcast and searched for in
-a pass of its own over the documents, so what is broadcast at once is bounded whatever the benchmark is.
+The benchmark is read in blocks of at most 2 * BLOCK_WORDS words; each block is broadcast and searched for in
+a pass of its own over the documents, so what is broadcast at once is bounded whatever the benchmark is. An item of
+more than BLOCK_WORDS words comes in pieces that overlap by a window less a word.
 
 Cases: null texts have no words; null or repeated item ids are items like others (a null id isn't
 listed); an item's repeated window counts once; repeated documents are judged alike; other columns pass
@@ -19,6 +20,8 @@ through, one with an output's name is replaced; an empty benchmark leaves all do
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +33,9 @@ from .textkit import HashTable, ragged, slices, words
 SHARD_BYTES = 1 << 20
 BLOCK_WORDS = 1 << 20
 
+#: Words before lower-casing.
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
 ADDED = {
     "n_words": "bigint",
     "removal_spans": "array<struct<first_word:bigint,end_word:bigint,first_byte:bigint,end_byte:bigint>>",
@@ -178,6 +184,17 @@ def _without(texts: pa.Array, data: np.ndarray, offsets: np.ndarray, start: np.n
     return pa.array(out, pa.string())
 
 
+def _pieces(text: str, window: int):
+    """(piece, number of words) of an item: all of its windows, in pieces of at most BLOCK_WORDS words or one window."""
+    at = [m.span() for m in _WORD.finditer(text)]
+    size = max(BLOCK_WORDS, window)
+    for p in range(0, max(1, len(at) - window + 1), size - window + 1) if len(at) > size else ():
+        some = at[p : p + size]
+        yield text[some[0][0] : some[-1][1]], len(some)
+    if len(at) <= size:
+        yield text, len(at)
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_text_col: str = "text", item_id_col: str = "item_id", keep: list[str] | None = None, cut: bool = False) -> DataFrame:
     """docs with n_words, removal_spans (merged, in order, in words and bytes of the text) and item_ids
     (as strings, sorted) of the benchmark items whose phrases occur. cut: text_col comes with the spans cut out."""
@@ -189,11 +206,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col
         more, texts, ids, size = True, [], [], 0
 
     for row in benchmark.select(benchmark[item_id_col].cast("string"), benchmark[item_text_col]).toLocalIterator():
-        if size >= BLOCK_WORDS:
-            flush(False)
-        ids.append(row[0])
-        texts.append(row[1])
-        size += (row[1] or "").count(" ") + 1
+        for piece, n in _pieces(row[1] or "", window):
+            if size >= BLOCK_WORDS:
+                flush(False)
+            ids.append(row[0])
+            texts.append(piece)
+            size += n
     flush(True)
     return out
 

@@ -4,12 +4,13 @@ A word's input is its own vector (by a hash of the word) and the mean vector of
 unseen words made of known parts are read too. Three inputs are set from counts before training: the
 word's log-odds of standing in a toxic text, and the mean and largest log-odds of its trigrams. Two gated
 recurrent units read a window of WINDOW words in both directions, attention pools their states into one
-logit, and a text's logit is the largest of its windows, which start every STRIDE words and overlap, so
-the whole text is scored.
+logit, and a text's logit is the largest of its windows, which start every STRIDE words. They overlap by three
+quarters, so every passage of up to WINDOW - STRIDE words stands whole in one of them, wherever it begins.
 
 The network is fitted by the driver on a bounded sample of labelled rows: at most ``per_class`` rows of each
-label, first in the order of a hash of their ids. A text trains on the window that scores highest among its
-MINED windows of highest log-odds. Scoring is one map over all rows with the weights broadcast (under 1 MB).
+label, first in the order of a hash of their ids, of texts of at most MAX_CHARS characters (so the driver takes
+2 * per_class * MAX_CHARS characters at most). A text trains on the window that scores highest among its MINED windows
+of highest log-odds. Scoring is one map over all rows with the weights broadcast (under 1 MB).
 
 Cases: a null or empty text, or one without words, has score 0; null labels and ids don't train; an id
 labelled twice counts once with its larger label; with fewer than two labels in the sample every text gets the
@@ -29,10 +30,10 @@ from pyspark.sql import functions as F
 from .common import map_columns, ready
 from .textkit import ragged, slices, trigrams, words
 
-WINDOW, STRIDE, MINED = 32, 24, 4
+WINDOW, STRIDE, MINED = 32, 8, 4
 WORD_ROWS, CHAR_ROWS, LEARNED, HIDDEN, ATTEND = 1 << 14, 1 << 12, 5, 8, 8
 INPUTS = 3 + LEARNED
-PER_CLASS, EPOCHS, BATCH = 2000, 5, 64
+PER_CLASS, MAX_CHARS, EPOCHS, BATCH = 2000, 1 << 15, 5, 64
 
 
 def _word_rows(h: np.ndarray) -> np.ndarray:
@@ -345,6 +346,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, usable: Column, per_clas
     # By the label's own rows first, so that only a bounded number of ids meets the documents.
     some = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     ids = some[0].unionByName(some[1]).select(F.col("doc_id").alias("labelled"), "toxic")
+    docs = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= MAX_CHARS)
     rows = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("labelled")).select("doc_id", "text", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * per_class).collect()
     return [r["text"] for r in rows], [r["toxic"] for r in rows], counts.get(1, 0) / max(1, sum(counts.values()))
 

@@ -8,13 +8,13 @@ below it, or a host with a leading path ("a.example/x"), which matches that path
 A capture has one candidate key for each domain and path prefix of its URL, as far down as the list's keys
 go. Intervals of a key are disjoint, so a candidate meets at most one active interval of a category. Captures
 and list meet by an equi-join on the key. If the list's size, counted first, is at most BROADCAST_ROWS, it is
-broadcast; otherwise captures are first reduced to distinct (key, day) pairs, which also takes the weight off
-hot hosts.
+broadcast; otherwise the list meets distinct (key, day) pairs, and their outcome goes back to the captures' keys by a
+join that cuts hot keys (a host or parent domain with many captures on a day) into pieces.
 
 Cases: a null or malformed URL, or a null fetch day, matches nothing; repeated changes and an add of a key
 that is on the list already change nothing; a "remove" on the same day as an "add" comes after it; repeated
-captures are judged alike; upper case in a key's host is folded, also in matched_keys; captures' other columns pass through, one with an output's name is replaced; an
-empty list blocks nothing.
+captures are judged alike; upper case in a key's host is folded, also in matched_keys; captures' other columns
+pass through, one with an output's name is replaced; an empty list blocks nothing.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import dropped, fresh, ready, spread_join, written
 
 BROADCAST_ROWS = 100_000
 
@@ -55,6 +55,7 @@ def url_keys(url: Column, labels_deep: int, path_deep: int) -> Column:
 def filter_urls(captures: DataFrame, changes: DataFrame, url_col: str = "url", day_col: str = "fetched", id_col: str = "page_id") -> DataFrame:
     """captures with matched_keys and categories (sorted arrays of the active entries) and blocked."""
     added = ("matched_keys", "categories", "blocked")
+    ready(captures.sparkSession)
     base = captures.drop(*added)
     # A URL's keys and a day decide the outcome, so each distinct (URL, day) is judged once.
     urls = base.select(F.col(url_col).alias("u"), F.col(day_col).alias("d")).where("u is not null and d is not null").distinct()
@@ -67,8 +68,11 @@ def filter_urls(captures: DataFrame, changes: DataFrame, url_col: str = "url", d
     if small:
         found = keyed.join(F.broadcast(intervals), "key").where(active).select("u", "d", "key", "category")
     else:
-        days = keyed.select("key", "d").distinct()
-        found = keyed.join(days.join(intervals, "key").where(active).select("key", "d", "category"), ["key", "d"]).select("u", "d", "key", "category")
+        days = written(keyed.groupBy("key", "d").agg(F.count("*").alias("n")), "days")
+        total = days.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        hit = days.join(intervals, "key").where(active).groupBy("key", "d").agg(F.collect_set("category").alias("some"), F.first("n").alias("n"))
+        found = written(spread_join(keyed, hit, ["key", "d"], "n", total).select("u", "d", "key", F.explode("some").alias("category")), "hits")
+        dropped(captures.sparkSession, days)
     hits = found.groupBy("u", "d").agg(F.sort_array(F.collect_set("key")).alias("matched_keys"), F.sort_array(F.collect_set("category")).alias("categories"))
     u, d = fresh("u", base.columns), fresh("d", base.columns)
     hits = hits.withColumnsRenamed({"u": u, "d": d})
