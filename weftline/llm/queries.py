@@ -129,12 +129,13 @@ FROM capture LEFT JOIN hit USING (page_id) GROUP BY page_id
 
 OP3_SQL = f"""
 WITH phrase AS (SELECT phrase, label FROM (VALUES {_values(license_scan.PHRASES)}) AS v(phrase, label)),
-template AS (SELECT row_number() OVER () AS template, list_distinct(string_split(text, ' ')) AS t, label FROM (VALUES {_values(license_scan.TEMPLATES)}) AS v(text, label)),
+template AS (SELECT row_number() OVER () AS template, list_distinct(string_split(text, ' ')) AS t, CAST(ceil(len(string_split(text, ' ')) / {license_scan.THRESHOLD} - 1e-9) AS BIGINT) AS width, label FROM (VALUES {_values(license_scan.TEMPLATES)}) AS v(text, label)),
 doc AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 place AS (SELECT doc_id, label, p - 1 AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM doc) CROSS JOIN phrase
   WHERE w[p] = string_split(phrase, ' ')[1] AND w[p : p + len(string_split(phrase, ' ')) - 1] = string_split(phrase, ' ')),
-line AS (SELECT doc_id, {_WORDS} AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM documents)),
-found AS (SELECT doc_id, label, len(list_intersect(t, list_distinct(w))) / len(t) AS c FROM line CROSS JOIN template WHERE len(list_intersect(t, list_distinct(w))) >= ceil({license_scan.THRESHOLD} * len(t) - 1e-9)),
+spot AS (SELECT doc_id, w, p, template FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM doc) JOIN (SELECT template, unnest(t) AS x FROM template) AS v ON v.x = w[p]),
+block AS (SELECT doc_id, label, t, len(list_intersect(t, list_distinct(w[p : p + width - 1]))) AS n FROM spot JOIN template USING (template)),
+found AS (SELECT doc_id, label, n / len(t) AS c FROM block WHERE n >= ceil({license_scan.THRESHOLD} * len(t) - 1e-9)),
 base AS (SELECT doc_id, count(*) AS n, min(word) AS a, max(word) AS b, list(DISTINCT label) AS l FROM place GROUP BY doc_id),
 method AS (SELECT doc_id, max(c) AS c, list(DISTINCT label) AS l FROM found GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, CAST(a AS BIGINT) AS first_word, CAST(b AS BIGINT) AS last_word,
