@@ -60,7 +60,7 @@ def dropped(spark: SparkSession, *tables: DataFrame) -> None:
 
 def dropped_but(spark: SparkSession, kept: DataFrame, since: int = 0) -> None:
     """Deletes all that written() made after the first `since` tables, but for one."""
-    for path in _made[since:]:
+    for path in list(_made[since:]):
         if path != kept._weftline_path:
             _delete(spark, path)
 
