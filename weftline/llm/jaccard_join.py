@@ -45,7 +45,7 @@ from .textkit import HashTable, mix, ragged, slices, words
 SHINGLE, BANDS, ROWS = 5, 25, 5
 HASHES = BANDS * ROWS
 CHUNK, TOLERANCE = 25, 1e-6
-BLOCK, BLOCK_SHINGLES, TILE = 1024, 1 << 17, 256
+BLOCK, BLOCK_SHINGLES, TILE = 2048, 1 << 18, 256
 VALUE_BYTES = 2
 SKETCH_BYTES = VALUE_BYTES * HASHES
 
@@ -337,11 +337,10 @@ def _found_links(sketched: DataFrame, classes: DataFrame, threshold: float) -> D
     sides = sides.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sides = sides.select("band", "bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "key", "w", "size", "sketch")
     left = _prune(_dealt(sides), threshold)
-    # A table of its own, so that its size is known before the join: small ones are broadcast, and texts stay where they are.
-    wanted = written(candidates.select("row", "key"), "wanted")
-    texts = sketched.select("row", "text").join(wanted, "row").select("key", "text")
+    # By row number, which no two rows share; the same way at every size.
+    texts = sketched.select("row", "text").join(candidates.select("row", "key").hint("merge"), "row").select("key", "text")
     found = written(_verify(_dealt(left.join(texts, "key")), threshold), "links")
-    dropped(spark, buckets, members, candidates, wanted)
+    dropped(spark, buckets, members, candidates)
     return found
 
 
