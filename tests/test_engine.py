@@ -54,12 +54,41 @@ ITEMS = [
 
 
 def test_ingredient_lines(spark):
-    rows = spark.createDataFrame([(a,) for a, *_ in ITEMS], "a string").select("a", ingredients.item_parser(VOCABULARY)("a").alias("i")).collect()
+    rows = ingredients.parse_items(spark.createDataFrame([(a,) for a, *_ in ITEMS], "a string"), "a", VOCABULARY, "i").collect()
     assert [(r["a"], r["i"]["canonical"], r["i"]["quantity"], r["i"]["unit"]) for r in rows] == ITEMS
     by = {r["a"]: r["i"] for r in rows}
     assert by["2 – 16oz can dark kidney beans"]["package"]["quantity"] == 453.592 and by["大蒜 = 2瓣"]["count_unit"] == "瓣"
-    assert ingredients.parse_item("2 tbsp soy sauce (optional)", ingredients.vocabulary(VOCABULARY))["optional"]
-    assert ingredients.parse_item("16-oz. mason jar", ingredients.vocabulary(VOCABULARY))["quantity"] is None
+
+
+def test_ingredient_details(spark):
+    entries = VOCABULARY | {"butter": [], "garlic": ["garlic cloves"], "chicken": []}
+    want = {
+        "2 tbsp soy sauce (optional)": {"optional": True, "display": "30 mL soy sauce (optional)", "quantity": 30.0, "original_unit": "tbsp", "original_quantity": "2"},
+        "16-oz. mason jar": {"quantity": None, "display": "mason jar (check source capacity)"},
+        "garlic (minced)": {"canonical": "garlic (minced)", "method": "unresolved-name"},
+        "garlic (finely chopped)": {"canonical": "garlic", "method": "explicit-alias"},
+        "3 garlic cloves, minced": {"canonical": "garlic", "quantity": 3.0, "unit": None},
+        "melted tablespoon butter": {"canonical": "melted 15 mL measure butter"},
+        "1 finely chopped large chicken, at room temperature": {"canonical": "chicken"},
+        "2-3 cups water": {"quantity": 480.0, "quantity_max": 720.0, "unit": "mL"},
+        "3 slices of butter": {"canonical": "butter", "count_unit": "slices", "quantity": 3.0},
+        "½ kg chicken": {"quantity": 0.5, "unit": "kg", "canonical": "chicken"},
+        "**15** g olive oil": {"quantity": 15.0, "unit": "g"},
+        "1/0 cup x": {"quantity": None, "unit": "mL"},
+        "Salt, to taste": {"canonical": "salt", "quantity": None},
+        "2 cups ｗater": {"canonical": "water"},
+        "": {"canonical": "", "display": "", "quantity": None},
+        None: {"canonical": "", "original_text": None},
+    }
+    lines = spark.createDataFrame([(x, 1) for x in want], "a string, item int")
+    for r in ingredients.parse_items(lines, "a", entries).collect():
+        for field, value in want[r["a"]].items():
+            assert r["item"][field] == value, (r["a"], field, r["item"][field])
+    names = spark.createDataFrame([("Large chicken (drained)",), ("GARLIC cloves",), ("odd, diced thing",), (None,)], "n string")
+    mapped = {r["n"]: r["canonical"] for r in ingredients.canonical_names(names, "n", entries).collect()}
+    spellings = spark.createDataFrame(list(ingredients.vocabulary(entries).items()), "spelling string, canonical string")
+    joined = {r["n"]: r["canonical"] for r in ingredients.resolve_names(names, "n", spellings).collect()}
+    assert mapped == joined | {None: None} == {"Large chicken (drained)": "chicken", "GARLIC cloves": "garlic", "odd, diced thing": "odd", None: None}
 
 
 def test_identity(spark):

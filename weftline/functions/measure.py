@@ -12,19 +12,63 @@ from .binding import let
 
 # Spellings of units, each with its factor to the metric unit.
 UNITS = {
-    **dict.fromkeys(("c. à soupe", "cuillère à soupe", "cuillères à soupe", "el", "esslöffel", "κ.σ.", "汤匙", "tbsp", "tablespoon", "tablespoons"), (15.0, "mL")),
-    **dict.fromkeys(("c. à café", "cuillère à café", "cuillères à café", "tl", "teelöffel", "κ.γ.", "茶匙", "tsp", "teaspoon", "teaspoons"), (5.0, "mL")),
-    **dict.fromkeys(("cup", "cups"), (240.0, "mL")),
-    **dict.fromkeys(("fl oz", "fl. oz.", "fl. oz", "fluid ounce", "fluid ounces"), (29.5735, "mL")),
-    **dict.fromkeys(("oz", "ounce", "ounces"), (28.3495, "g")),
-    **dict.fromkeys(("lb", "lbs", "pound", "pounds"), (453.592, "g")),
-    **dict.fromkeys(("pint", "pints"), (473.176, "mL")),
-    **dict.fromkeys(("quart", "quarts"), (946.353, "mL")),
-    **dict.fromkeys(("gallon", "gallons"), (3.78541, "L")),
-    **dict.fromkeys(("g", "gram", "grams", "克"), (1.0, "g")),
-    **dict.fromkeys(("kg", "kilogram", "kilograms", "千克"), (1.0, "kg")),
-    **dict.fromkeys(("ml", "milliliter", "milliliters", "毫升"), (1.0, "mL")),
-    **dict.fromkeys(("l", "liter", "liters", "litre", "litres"), (1.0, "L")),
+    "c. à soupe": (15.0, "mL"),
+    "cuillère à soupe": (15.0, "mL"),
+    "cuillères à soupe": (15.0, "mL"),
+    "c. à café": (5.0, "mL"),
+    "cuillère à café": (5.0, "mL"),
+    "cuillères à café": (5.0, "mL"),
+    "tl": (5.0, "mL"),
+    "teelöffel": (5.0, "mL"),
+    "el": (15.0, "mL"),
+    "esslöffel": (15.0, "mL"),
+    "κ.σ.": (15.0, "mL"),
+    "κ.γ.": (5.0, "mL"),
+    "茶匙": (5.0, "mL"),
+    "汤匙": (15.0, "mL"),
+    "tsp": (5.0, "mL"),
+    "teaspoon": (5.0, "mL"),
+    "teaspoons": (5.0, "mL"),
+    "tbsp": (15.0, "mL"),
+    "tablespoon": (15.0, "mL"),
+    "tablespoons": (15.0, "mL"),
+    "cup": (240.0, "mL"),
+    "cups": (240.0, "mL"),
+    "fl oz": (29.5735, "mL"),
+    "fl. oz.": (29.5735, "mL"),
+    "fl. oz": (29.5735, "mL"),
+    "fluid ounce": (29.5735, "mL"),
+    "fluid ounces": (29.5735, "mL"),
+    "oz": (28.3495, "g"),
+    "ounce": (28.3495, "g"),
+    "ounces": (28.3495, "g"),
+    "lb": (453.592, "g"),
+    "lbs": (453.592, "g"),
+    "pound": (453.592, "g"),
+    "pounds": (453.592, "g"),
+    "pint": (473.176, "mL"),
+    "pints": (473.176, "mL"),
+    "quart": (946.353, "mL"),
+    "quarts": (946.353, "mL"),
+    "gallon": (3.78541, "L"),
+    "gallons": (3.78541, "L"),
+    "g": (1.0, "g"),
+    "gram": (1.0, "g"),
+    "grams": (1.0, "g"),
+    "克": (1.0, "g"),
+    "kg": (1.0, "kg"),
+    "kilogram": (1.0, "kg"),
+    "kilograms": (1.0, "kg"),
+    "千克": (1.0, "kg"),
+    "ml": (1.0, "mL"),
+    "milliliter": (1.0, "mL"),
+    "milliliters": (1.0, "mL"),
+    "毫升": (1.0, "mL"),
+    "l": (1.0, "L"),
+    "liter": (1.0, "L"),
+    "liters": (1.0, "L"),
+    "litre": (1.0, "L"),
+    "litres": (1.0, "L"),
 }
 # Single-character fractions.
 FRACTIONS = {"½": "1/2", "¼": "1/4", "¾": "3/4", "⅓": "1/3", "⅔": "2/3", "⅛": "1/8", "⅜": "3/8", "⅝": "5/8", "⅞": "7/8", "⅕": "1/5", "⅖": "2/5", "⅗": "3/5", "⅘": "4/5", "⅙": "1/6", "⅚": "5/6"}
@@ -93,6 +137,12 @@ def _rewritten(text: Column, pattern: str, convert: Callable[[Column], Column])
     return let(text, join)
 
 
+def unit_of(spelling: Column) -> Column:
+    """struct<factor, unit> of a spelling in any case; null for any other text."""
+    table = F.create_map(*(x for u, (factor, unit) in UNITS.items() for x in (F.lit(u), F.struct(F.lit(factor).alias("factor"), F.lit(unit).alias("unit")))))
+    return F.try_element_at(table, F.lower(spelling))
+
+
 def _unit(spelling: Column) -> Column:
     """struct<factor, unit> of a spelling."""
     table = F.create_map(*(x for u, (factor, unit) in UNITS.items() for x in (F.lit(u), F.struct(F.lit(factor), F.lit(unit)))))

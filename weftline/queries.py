@@ -319,7 +319,7 @@ def iso_minutes(spark, d):
 _TERMS = ("the", "of")
 
 
-@query("""WITH t AS (SELECT doc_id, trim(regexp_replace(lower(string_split(text, chr(10))[1]), '[^a-z0-9]+', ' ', 'g')) AS title, list_transform(string_split(text, '.')[1:5], lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))) AS items,
+@query("""WITH t AS (SELECT doc_id, trim(regexp_replace(lower(string_split(text, chr(10))[1]), '[^a-z0-9]+', ' ', 'g')) AS title, list_transform(string_split(text, '.'), lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))) AS items,
   trim(regexp_replace(lower(lang || ' ' || source || ' ' || text), '[^a-z0-9]+', ' ', 'g')) AS meta FROM documents),
 h AS (SELECT *, contains(' ' || title || ' ', ' the of ') OR starts_with(title, 'the of') AS strong, title = 'the of' AS exact, len(list_filter(items, lambda x: contains(' ' || x || ' ', ' the '))) > 0 AS a, len(list_filter(items, lambda x: contains(' ' || x || ' ', ' of '))) > 0 AS b FROM t)
 SELECT doc_id, a::INT + b::INT AS n_items, CASE WHEN exact THEN 0 WHEN strong THEN 1 WHEN a AND b THEN 2 WHEN a OR b THEN 3 ELSE 4 END AS priority FROM h
