@@ -92,13 +92,60 @@ def html_escape(text: Column) -> Column:
     return text
 
 
+# Named character references that are read.
+REFERENCES = {
+    "lt": "<",
+    "gt": ">",
+    "quot": '"',
+    "apos": "'",
+    "nbsp": " ",
+    "copy": "©",
+    "reg": "®",
+    "deg": "°",
+    "middot": "·",
+    "frac12": "½",
+    "frac14": "¼",
+    "frac34": "¾",
+    "ndash": "–",
+    "mdash": "—",
+    "hellip": "…",
+    "lsquo": "‘",
+    "rsquo": "’",
+    "ldquo": "“",
+    "rdquo": "”",
+    "eacute": "é",
+    "egrave": "è",
+    "agrave": "à",
+    "ccedil": "ç",
+    "uuml": "ü",
+    "ouml": "ö",
+    "auml": "ä",
+    "amp": "&",
+}
+_SCRIPTS = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
+
+
+def unescaped(text: Column) -> Column:
+    """Character references as characters: named ones of REFERENCES, and numeric ones, decimal or hexadecimal."""
+    pattern = r"&#([0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"
+
+    def numeric(t: Column) -> Column:
+        found = F.regexp_extract_all(t, F.lit(pattern), F.lit(1))
+        code = F.transform(found, lambda m: F.when(F.lower(m).startswith("x"), F.conv(F.substring(m, 2, 6), 16, 10)).otherwise(m).cast("int"))
+        signs = F.transform(code, lambda c: F.when((c > 0) & (c < 0xD800) | (c >= 0xE000) & (c <= 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32")).otherwise("\ufffd"))
+        pieces = F.split(t, pattern, -1)
+        return F.when(F.size(found) == 0, t).otherwise(F.transform(F.array(signs), lambda s: F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(s, i), F.lit("")))), ""))[0])
+
+    text = F.transform(F.array(text), numeric)[0]
+    for name, sign in REFERENCES.items():
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(sign))
+    return text
+
+
 def visible_text(page: Column) -> Column:
-    """A page's text without scripts, styles, comments and tags."""
-    page = F.regexp_replace(page, r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>", " ")
-    page = F.regexp_replace(page, r"<[^>]*>", " ")
-    for code, raw in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        page = F.replace(page, F.lit(code), F.lit(raw))
-    return F.trim(F.regexp_replace(page, r"\s+", " "))
+    """A page's text without scripts, styles, comments and tags, with character references read."""
+    bare = F.regexp_replace(F.regexp_replace(page, _SCRIPTS, " "), r"<[^>]*>", " ")
+    return F.trim(F.regexp_replace(unescaped(bare), r"\s+", " "))
 
 
 def page_title(page: Column) -> Column:

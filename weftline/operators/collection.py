@@ -6,6 +6,10 @@ file marked as done without its records; a run that is repeated under the same n
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +35,63 @@ def state(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(schema).option("basePath", f"{folder}/{name}").parquet(f"{folder}/{name}")
 
 
+def _file(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _written_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Whether a small file that wasn't there is now; another writer's file stays as it is."""
+    at, fs = _file(spark, path)
+    try:
+        out = fs.create(at, False)
+    except Exception:  # noqa: BLE001  the store's own error for a file that is there
+        if fs.exists(at):
+            return False
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
+def _content(spark: SparkSession, path: str) -> str:
+    return bytes(spark.read.format("binaryFile").load(path).first()["content"]).decode()
+
+
+def claim(spark: SparkSession, folder: str, owner: str) -> None:
+    """A state folder belongs to the owner that claims it first; any other is an error."""
+    if not _written_once(spark, f"{folder}/owner.txt", owner) and _content(spark, f"{folder}/owner.txt") != owner:
+        raise ValueError(f"{folder} belongs to another owner")
+
+
+@contextmanager
+def locked(spark: SparkSession, folder: str, owner: str) -> Iterator[None]:
+    """Holds a folder's lock. A lock that another run holds is an error; one that a lost driver left must be deleted by hand."""
+    claim(spark, folder, owner)
+    if not _written_once(spark, f"{folder}/lock.txt", owner):
+        raise ValueError(f"{folder} is in use")
+    try:
+        yield
+    finally:
+        at, fs = _file(spark, f"{folder}/lock.txt")
+        fs.delete(at, False)
+
+
+def finalize(spark: SparkSession, folder: str, run: str) -> None:
+    """Makes a folder's state final: no later run may add to it."""
+    if not _written_once(spark, f"{folder}/final.txt", run):
+        raise ValueError(f"{folder} is final already")
+
+
+def log(spark: SparkSession, folder: str, run: str, event: str, **told) -> None:
+    """Adds an event to a folder's log, a JSON file for each; a run's event of one name is written once."""
+    _written_once(spark, f"{folder}/log/{run}-{event}.json", json.dumps({"run": run, "event": event, **told}, sort_keys=True, ensure_ascii=False) + "\n")
+
+
+def log_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema("run string, event string, files bigint, failed bigint").json(f"{folder}/log")
+
+
 def failures(events: DataFrame) -> DataFrame:
     """Files whose latest event is a failure. Runs must be named in ascending order."""
     last = events.groupBy("key").agg(F.max_by(F.struct("source", "path", "event", "error", "retry_count", "retryable", "classification"), F.struct("run", F.col("event") == "resolved")).alias("e"))
@@ -40,7 +101,10 @@ def failures(events: DataFrame) -> DataFrame:
 def collect(spark: SparkSession, files: DataFrame, folder: str, run: str, retry: bool = False, layouts: dict | None = None) -> None:
     """Processes files (source, path, content) that are neither processed nor, unless retry, failed. Ids of records that are there are never overwritten.
 
-    run: a name greater than those of earlier runs. Repeated files within a run count once."""
+    run: a name greater than those of earlier runs. Repeated files within a run count once. A folder that is final is an error."""
+    at, fs = _file(spark, f"{folder}/final.txt")
+    if fs.exists(at):
+        raise ValueError(f"{folder} is final")
     mine = F.col("run") != run
     done = state(spark, folder, "items").where(mine).select("key")
     open_ = failures(state(spark, folder, "events").where(mine))
@@ -57,7 +121,7 @@ def collect(spark: SparkSession, files: DataFrame, folder: str, run: str, retry:
     new = new.join(state(spark, folder, "records").where(mine).select("id"), "id", "left_anti")
     failed = parsed.where(~good).select(
         "key", "source", "path", F.lit("failure").alias("event"), F.col("parsed.error").alias("error"), (F.coalesce("_tries", F.lit(-1)) + 1).cast("int").alias("retry_count"),
-        F.lit(False).alias("retryable"), F.when(F.col("parsed.no_records"), "NOT_A_RECIPE_SOURCE").alias("classification"),
+        F.col("parsed.retryable").alias("retryable"), F.when(F.col("parsed.no_records"), "NOT_A_RECIPE_SOURCE").alias("classification"),
     )
     resolved = parsed.where(good & F.col("_tries").isNotNull()).select("key", "source", "path", F.lit("resolved").alias("event"), F.lit(None).cast("string").alias("error"), F.col("_tries").alias("retry_count"), F.lit(False).alias("retryable"), F.lit(None).cast("string").alias("classification"))
     members = parsed.select("key", F.explode("parsed.outcomes").alias("o")).select("key", "o.*")
@@ -65,6 +129,8 @@ def collect(spark: SparkSession, files: DataFrame, folder: str, run: str, retry:
     for name, rows in (("records", new), ("members", members), ("events", failed.unionByName(resolved)), ("items", items)):
         columns = [f.name for f in spark.createDataFrame([], TABLES[name]).schema]
         rows.select(*columns).write.mode("overwrite").parquet(f"{folder}/{name}/run={run}")
+    told = parsed.agg(F.count("*").alias("files"), F.count_if(~good).alias("failed")).first()
+    log(spark, folder, run, "collected", files=told["files"], failed=told["failed"])
 
 
 def manifest(discovered: DataFrame, items: DataFrame, events: DataFrame) -> DataFrame:

@@ -6,6 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Labels of times in a text's lines, and what a time looks like.
+TIME_LABELS = {
+    "active_minutes": r"active(?: cooking)? time|hands.on time",
+    "total_minutes": r"total(?: cooking)? time|ready in",
+    "prep_minutes": r"prep(?:aration)?(?: time)?",
+    "cook_minutes": r"cook(?:ing)? time",
+}
+HOURS = r"(?:([0-9]+(?:\.[0-9]+)?)\s*(?:hours?|hrs?|h|小时|小時))?"
+MINUTES = r"(?:([0-9]+(?:\.[0-9]+)?)\s*(?:minutes?|mins?|m|分钟|分鐘))?"
+
 
 def rewrite_strings(column: Column, kind: T.DataType, rewrite, skip: tuple[str, ...] = (), name: str = "") -> Column:
     """rewrite applied to every string inside a value of any nesting, but for fields named in skip."""
@@ -35,3 +45,89 @@ def split_noise(rows: DataFrame, key: str, lines: Column, noise: str) -> tuple[D
     """(kept, decisions): lines that match the pattern are dropped, and each drop is logged with its position."""
     exploded = rows.select(key, F.posexplode(lines).alias("position", "line")).withColumn("is_noise", F.col("line").rlike(noise))
     return exploded.where("not is_noise").drop("is_noise"), exploded.where("is_noise").select(key, "position", "line", F.lit("navigation or empty fragment").alias("reason"))
+
+
+def meaningful_items(rows: DataFrame, key: str, items: Column, name: str) -> tuple[DataFrame, DataFrame]:
+    """(kept, decisions): items (an array of structs) whose name has a letter, and a log of the others with their positions."""
+    lines = rows.select(key, F.posexplode(items).alias("position", "item"))
+    known = F.coalesce(F.col(f"item.{name}").rlike(r"\p{L}"), F.lit(False))
+    return lines.where(known), lines.where(~known).select(key, "position", "item", F.lit("quantity without ingredient identity").alias("reason"))
+
+
+def positive(value: Column) -> Column:
+    """A time that isn't positive is no time."""
+    return F.when(value > 0, value)
+
+
+def duration(text: Column) -> Column:
+    """Minutes of "1 hr 20 min", "2小时", "45m"; null for any other text."""
+    hours, minutes = (F.nullif(F.regexp_extract(F.trim(text), f"(?i)^{HOURS}\\s*{MINUTES}$", k), F.lit("")).cast("double") for k in (1, 2))
+    return F.when(hours.isNotNull() | minutes.isNotNull(), F.coalesce(hours, F.lit(0.0)) * 60 + F.coalesce(minutes, F.lit(0.0)))
+
+
+def labelled_times(text: Column) -> Column:
+    """struct of minutes that lines of a text name by a label, the value beside it or in one of the next three lines; the first that reads as a time."""
+    lines = F.transform(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]+>", " "), "\\r?\\n"), lambda x: F.regexp_replace(x, r"^[\s#*_]+|[\s#*_]+$", ""))
+
+    def field(label: str) -> Column:
+        def value(rows: Column) -> Column:
+            def at(x: Column, i: Column) -> Column:
+                beside = F.trim(F.regexp_extract(x, rf"(?i)^(?:{label})[ :*_]*(.*)$", 1))
+                below = F.get(F.filter(F.slice(rows, i + 2, F.lit(3)), lambda y: y != ""), F.lit(0))
+                said = F.when(beside != "", beside).otherwise(F.coalesce(below, F.lit("")))
+                return F.when(x.rlike(rf"(?i)^(?:{label})"), positive(duration(F.regexp_replace(said, r"^[*_ .]+|[*_ .]+$", ""))))
+
+            return F.get(F.filter(F.transform(rows, at), lambda m: m.isNotNull()), F.lit(0))
+
+        return F.transform(F.array(lines), value)[0]
+
+    return F.struct(*(field(label).alias(name) for name, label in TIME_LABELS.items()))
+
+
+def reextracted(record: Column, parsed: Column, fields: list[str]) -> Column:
+    """record (a struct) with the fields that a second reading of its kept body gives, if that has items and steps."""
+    whole = F.coalesce((F.size(parsed["ingredients"]) > 0) & (F.size(parsed["instructions"]) > 0), F.lit(False))
+    return record.withField("reextracted", whole) if not fields else _with_fields(record, parsed, fields, whole)
+
+
+def _with_fields(record: Column, parsed: Column, fields: list[str], whole: Column) -> Column:
+    for f in fields:
+        record = record.withField(f, F.when(whole, F.coalesce(parsed[f], record[f])).otherwise(record[f]))
+    return record.withField("reextracted", whole)
+
+
+def license_url(source: Column, revision: Column, path: Column) -> Column:
+    """Where a source's license stands at the pinned revision; null where one of the three is unknown."""
+    given = (F.coalesce(path, F.lit("")) != "") & (F.coalesce(revision, F.lit("")) != "")
+    return F.when(given, F.concat(F.regexp_replace(source, "/+$", ""), F.lit("/blob/"), revision, F.lit("/"), F.regexp_replace(F.regexp_replace(F.url_encode(path), "%2F", "/"), r"\+", "%20")))
+
+
+def duplicate_variants(rows: DataFrame, members: DataFrame, key: str = "id", status: str = "status", why: str = "reasons") -> DataFrame:
+    """rows with representative and is_representative. A recommended row that isn't its group's representative becomes a duplicate variant.
+
+    members: (key, representative), a row for each record of a group; records of no group represent themselves."""
+    out = rows.join(members.select(key, F.col("representative").alias("_first")), key, "left")
+    first = F.coalesce("_first", key)
+    out = out.withColumns({"representative": first, "is_representative": first == F.col(key)}).drop("_first")
+    variant = ~F.col("is_representative") & (F.col(status) != "not-recommended")
+    note = F.array(F.lit("exact duplicate retained; representative is used in recommendations"))
+    return out.withColumns({why: F.when(variant, F.concat(F.coalesce(why, F.array().cast("array<string>")), note)).otherwise(F.col(why)), status: F.when(variant, "duplicate-variant").otherwise(F.col(status))})
+
+
+def published(records: DataFrame, matches: DataFrame, members: DataFrame, captured: DataFrame, sources: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, withheld, aliases): one row for each representative with a match, the captured title, and its source's license.
+
+    records: key, title, source, revision, raw_id, allowed, steps and what else is to be shown; matches: (key, score, state);
+    members: (key, representative); captured: (raw_id, original_title); sources: (source, license_path). Each has at most a
+    row for a key, so the joins neither add nor drop rows. Steps without permission are withheld and listed; records that
+    another one represents become aliases."""
+    state = records.where(F.col(key).isNotNull()).join(members.select(key, "representative"), key, "left")
+    alias = state.where(F.col("representative") != F.col(key)).select(key, "representative")
+    own = state.where(F.col("representative").isNull() | (F.col("representative") == F.col(key))).drop("representative")
+    out = own.join(matches.select(key, "score", "state"), key, "left").join(captured.select("raw_id", "original_title"), "raw_id", "left").join(sources.select("source", "license_path"), "source", "left")
+    allowed = F.coalesce(F.col("allowed"), F.lit(False))
+    out = out.withColumns({
+        "allowed": allowed, "steps": F.when(allowed, F.col("steps")).otherwise(F.array().cast(records.schema["steps"].dataType)), "state": F.coalesce("state", F.lit("unknown")),
+        "original_title": F.coalesce("original_title", "title"), "license_url": license_url(F.col("source"), F.col("revision"), F.col("license_path")),
+    }).drop("license_path")
+    return out, out.where(~F.col("allowed")).select(key), alias

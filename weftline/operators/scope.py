@@ -7,11 +7,61 @@ from pyspark.sql import functions as F
 
 # Names of files and folders without records; licenses of pictures.
 DOCUMENTS = (
-    "readme readme_header agents claude contributing contributers credits code_of_conduct code-of-conduct security maintainers development changelog index writing about template license copying"
-).split()
-FOLDERS = "docs tips basics experiments templates _layouts _includes _posts l10n locale lang frontend vue3 calculator flowchart http.d nginx".split()
+    "readme",
+    "readme_header",
+    "agents",
+    "claude",
+    "contributing",
+    "contributers",
+    "credits",
+    "code_of_conduct",
+    "code-of-conduct",
+    "security",
+    "maintainers",
+    "development",
+    "changelog",
+    "index",
+    "writing",
+    "about",
+    "template",
+    "license",
+    "copying",
+)
+FOLDERS = (
+    "docs",
+    "tips",
+    "basics",
+    "experiments",
+    "templates",
+    "_layouts",
+    "_includes",
+    "_posts",
+    "l10n",
+    "locale",
+    "lang",
+    "frontend",
+    "vue3",
+    "calculator",
+    "flowchart",
+    "http.d",
+    "nginx",
+)
 TEST_FOLDERS = ("testdata/", "test_data/", "tests/data/", "res_jsonld/", "res_microdata/")
-LICENSES = "CC0-1.0 CC-BY-2.0 CC-BY-3.0 CC-BY-4.0 CC-BY-SA-2.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC-BY-NC-3.0 CC-BY-NC-4.0 CC-BY-NC-SA-3.0 CC-BY-NC-SA-4.0 PUBLIC-DOMAIN MIT".split()
+LICENSES = (
+    "CC0-1.0",
+    "CC-BY-2.0",
+    "CC-BY-3.0",
+    "CC-BY-4.0",
+    "CC-BY-SA-2.0",
+    "CC-BY-SA-3.0",
+    "CC-BY-SA-4.0",
+    "CC-BY-NC-3.0",
+    "CC-BY-NC-4.0",
+    "CC-BY-NC-SA-3.0",
+    "CC-BY-NC-SA-4.0",
+    "PUBLIC-DOMAIN",
+    "MIT",
+)
 FREE_LICENSES = ("CC0-1.0", "PUBLIC-DOMAIN")
 SOURCE_STATUS = {"blocked": "BLOCKED", "unsupported": "UNSUPPORTED", "disabled": "NOT_A_RECIPE_SOURCE", "not-a-recipe-source": "NOT_A_RECIPE_SOURCE"}
 

@@ -126,11 +126,16 @@ def _create(spark, path: str):
 
 
 def _replace(spark, path: str) -> None:
-    """The finished part takes the name of what was there."""
-    part, fs = _fs(spark, path + ".part")
-    final, _ = _fs(spark, path)
-    fs.delete(final, False)
-    fs.rename(part, final)
+    """The finished part takes the name of what was there, in one step: readers see the old file or the new one."""
+    _renamed(spark, path + ".part", path)
+
+
+def _renamed(spark, part: str, final: str) -> None:
+    jvm = spark._jvm
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(_fs(spark, part)[0].toUri(), spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(_fs(spark, part)[0], _fs(spark, final)[0], options)
 
 
 def write_files(files: DataFrame, folder: str) -> None:
@@ -146,6 +151,5 @@ def write_files(files: DataFrame, folder: str) -> None:
             if part.getPath().getName().startswith("part-"):
                 target, _ = _fs(spark, f"{folder}/{name}")
                 fs.mkdirs(target.getParent())
-                fs.delete(target, False)
-                fs.rename(part.getPath(), target)
+                _renamed(spark, part.getPath().toString(), target.toString())
     fs.delete(root, True)

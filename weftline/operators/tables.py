@@ -7,13 +7,43 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Units of a plan that least_loaded deals on the driver.
+MAX_UNITS = 1_000_000
+
 
 def merge_shards(shards: list[DataFrame], key: str) -> tuple[DataFrame, DataFrame]:
-    """(merged, conflicts): one row for each key, and the keys whose shards disagree (key, versions)."""
+    """(merged, conflicts): one row for each key on whose row all shards agree, and the keys whose shards disagree (key, versions).
+
+    Rows are compared as JSON with their nulls in place, so values that stand in different columns differ. A key in
+    conflict has no row in merged: none of its versions is the right one. Null keys are one key."""
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), shards)
-    hashed = rows.withColumn("_hash", F.xxhash64(*rows.columns))
-    conflicts = hashed.groupBy(key).agg(F.count_distinct("_hash").alias("versions")).where("versions > 1")
-    return rows.dropDuplicates([key]), conflicts
+    mark = F.sha2(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}), 256)
+    versions = rows.withColumn("_mark", mark).groupBy(key, "_mark").agg(F.first(F.struct(*rows.columns)).alias("_row"))
+    counted = versions.groupBy(key).agg(F.count("*").alias("versions"), F.first("_row").alias("_row"))
+    return counted.where("versions = 1").select("_row.*"), counted.where("versions > 1").select(key, "versions")
+
+
+def union_sorted(parts: list[DataFrame], *sort: Column) -> DataFrame:
+    """All parts' rows, columns that one lacks as null, in the given order; ties stay in the order of the parts."""
+    marked = [p.withColumn("_part", F.lit(k)) for k, p in enumerate(parts)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), marked).orderBy(*sort, "_part").drop("_part")
+
+
+def share(rows: DataFrame, group: list[str], ok: Column) -> DataFrame:
+    """(group, coverage, covered, n): the share of each group's rows for which a condition holds; null counts as not."""
+    yes = F.coalesce(ok, F.lit(False))
+    return rows.groupBy(*group).agg(F.round(F.avg(yes.cast("double")), 6).alias("coverage"), F.count_if(yes).alias("covered"), F.count("*").alias("n"))
+
+
+def greatest_of_each(rows: DataFrame, group: list[str], amount: str, name: str) -> DataFrame:
+    """(group, name, amount) of the greatest amount in each group, of equal ones the greater name; null amounts only where there is no other."""
+    best = F.max(F.struct(F.col(amount).isNotNull().alias("known"), F.col(amount), F.col(name)))
+    return rows.groupBy(*group).agg(best.alias("_best")).select(*group, F.col(f"_best.{name}").alias(name), F.col(f"_best.{amount}").alias(amount))
+
+
+def most_frequent(rows: DataFrame, column: str, k: int) -> DataFrame:
+    """(column, n): the k most frequent values, ties in their order; each task keeps k of its sums."""
+    return rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(k)
 
 
 def duplicate_groups(records: DataFrame, fingerprint: str, key: str) -> DataFrame:
@@ -57,8 +87,12 @@ def chunks(rows: DataFrame, size: int, group: list[str], *order: Column) -> Data
 
 
 def least_loaded(units: DataFrame, unit: str, size: str, n: int, start: list[int] | None = None) -> DataFrame:
-    """(unit, bin): units, largest first, each to the bin with the least load (from start on). Sequential by nature; over a plan's units only."""
-    rows = units.select(unit, size).orderBy(F.desc(size), unit).collect()
+    """(unit, bin): units, largest first, each to the bin with the least load (from start on).
+
+    Sequential by nature, so it runs on the driver, over a plan's units only: more than MAX_UNITS are an error."""
+    rows = units.select(unit, size).orderBy(F.desc(size), unit).limit(MAX_UNITS + 1).collect()
+    if len(rows) > MAX_UNITS:
+        raise ValueError(f"a plan has at most {MAX_UNITS} units")
     loads, out = list(start or [0] * n), []
     for r in rows:
         k = min(range(n), key=lambda b: (loads[b], b))

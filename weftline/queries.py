@@ -128,7 +128,11 @@ def chunk_200(spark, d):
     return tables.chunks(table(spark, d, "part"), 200, ["p_brand"], F.col("p_partkey")).select("p_partkey", "p_brand", "chunk")
 
 
-@query()
+@query("""WITH RECURSIVE unit AS (SELECT l_suppkey, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, l_suppkey) AS k FROM lineitem GROUP BY l_suppkey),
+step AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS l_suppkey, -1 AS bin, [0, 0, 0, 0]::BIGINT[] AS loads
+  UNION ALL SELECT u.k, u.l_suppkey, CAST(list_position(s.loads, list_min(s.loads)) - 1 AS INTEGER), list_transform(s.loads, lambda x, i: x + CASE WHEN i = list_position(s.loads, list_min(s.loads)) THEN u.size ELSE 0 END)
+  FROM step AS s JOIN unit AS u ON u.k = s.k + 1)
+SELECT l_suppkey, bin FROM step WHERE k > 0""")
 def least_loaded_plan(spark, d):
     units = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("size"))
     return tables.least_loaded(units, "l_suppkey", "size", 4)
@@ -199,8 +203,7 @@ def prefix_rule_join(spark, d):
 
 @query("SELECT l_orderkey, round(avg(CASE WHEN l_returnflag = 'A' THEN 1.0 ELSE 0.0 END), 6) AS coverage, count(*) FILTER (l_returnflag = 'A') AS available, count(*) AS n FROM lineitem GROUP BY l_orderkey")
 def coverage_ratio(spark, d):
-    ok = F.col("l_returnflag") == "A"
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.round(F.avg(ok.cast("double")), 6).alias("coverage"), F.count_if(ok).alias("available"), F.count("*").alias("n"))
+    return tables.share(table(spark, d, "lineitem"), ["l_orderkey"], F.col("l_returnflag") == "A").withColumnRenamed("covered", "available")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_totalprice <= 50000 THEN 1.0 WHEN o_totalprice <= 100000 THEN 0.8 WHEN o_totalprice <= 200000 THEN 0.6 ELSE 0.4 END::DOUBLE AS credit FROM orders")
@@ -215,8 +218,7 @@ def falling_credit(spark, d):
 
 @query("SELECT l_orderkey, l_partkey AS item, l_quantity AS amount FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_partkey DESC) AS r FROM lineitem) WHERE r = 1")
 def argmax_item(spark, d):
-    key = F.struct("l_quantity", "l_partkey")
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max(key).alias("m")).select("l_orderkey", F.col("m.l_partkey").alias("item"), F.col("m.l_quantity").alias("amount"))
+    return tables.greatest_of_each(table(spark, d, "lineitem"), ["l_orderkey"], "l_quantity", "l_partkey").withColumnsRenamed({"l_partkey": "item", "l_quantity": "amount"})
 
 
 @query("SELECT p_partkey, p_size > 3 AND row_number() OVER (PARTITION BY lower(p_name), p_size > 3 ORDER BY p_retailprice DESC, p_partkey) = 1 AS discovery_representative FROM part")
@@ -252,7 +254,7 @@ def bottom_cohort(spark, d):
 
 @query("SELECT word, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part) GROUP BY word ORDER BY n DESC, word LIMIT 80")
 def top_unresolved(spark, d):
-    return table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(80)
+    return tables.most_frequent(table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("word")), "word", 80)
 
 
 @query("SELECT 'quality' AS column_name, count(*) FILTER (quality IS NULL) AS nulls FROM documents LEFT JOIN labels USING (doc_id) UNION ALL SELECT 'toxic', count(*) FILTER (toxic IS NULL) FROM documents LEFT JOIN labels USING (doc_id) UNION ALL SELECT 'text', count(*) FILTER (text IS NULL) FROM documents")
@@ -348,7 +350,8 @@ def page_title(spark, d):
     return table(spark, d, "pages").select("page_id", tx.page_title(F.col("html")).alias("title"))
 
 
-@query()
+@query("""WITH bare AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>', ' ', 'g'), '<[^>]*>', ' ', 'g') AS t FROM pages)
+SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&#233;', 'é'), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g')) AS visible FROM bare""")
 def visible_text(spark, d):
     return table(spark, d, "pages").select("page_id", tx.visible_text(F.col("html")).alias("visible"))
 
@@ -359,10 +362,24 @@ def safe_url(spark, d):
     return table(spark, d, "pages").select("page_id", tx.safe_url(bad, F.concat(F.lit("https://fallback.example.com/"), F.col("page_id").cast("string"))).alias("url"))
 
 
-@query("SELECT 'HTML' AS cause, 'UNSUPPORTED' AS outcome, count(*) AS n FROM pages")
+_TRIAGED = (
+    ("x.md.gz", "https://u\nAccess Denied", "BLOCKED", "captured-access-or-missing-page"),
+    ("x.md", "# Title\nTODO", "NOT_A_RECIPE_SOURCE", "duplicate/non-recipe-file"),
+    ("x.md", "%INGREDIENT_NAME% and more", "NOT_A_RECIPE_SOURCE", "repository-metadata"),
+    ("x.gz", "https://u\nshort", "UNSUPPORTED", "incomplete-cached-content"),
+    ("x.html", "<p>text</p>", "UNSUPPORTED", "HTML"),
+    ("x.gz", "https://u\nIngredients\n" + "long text " * 40, "LEGITIMATE_RECIPE_FAILURE", "instructions-parser-failure"),
+    ("x.gz", "https://u\n" + "long text " * 40, "UNSUPPORTED", "unlabelled-or-index-archive"),
+    ("x.md", "Some text\n## Ingredients\nmore", "LEGITIMATE_RECIPE_FAILURE", "alternate-markdown-layout"),
+    ("x.md", "Some text", "UNSUPPORTED", "other"),
+)
+
+
+@query("SELECT outcome, cause, count(*) AS n FROM pages JOIN (VALUES " + ", ".join(f"({k}, '{o}', '{c}')" for k, (_, _, o, c) in enumerate(_TRIAGED)) + ") AS v(k, outcome, cause) ON k = page_id % 9 GROUP BY outcome, cause")
 def triage_pages(spark, d):
-    rows = table(spark, d, "pages").select(classify.triage(F.col("html"), F.concat(F.col("page_id").cast("string"), F.lit(".html"))).alias("t"))
-    return rows.groupBy("t.cause", "t.outcome").agg(F.count("*").alias("n"))
+    """Nine captured texts, one for each way to fail, dealt over the pages."""
+    path, text = (F.element_at(F.array(*(F.lit(x[k]) for x in _TRIAGED)), (F.col("page_id") % 9 + 1).cast("int")) for k in (0, 1))
+    return table(spark, d, "pages").select(classify.triage(text, path).alias("t")).groupBy("t.outcome", "t.cause").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, count(*) FILTER (noise) AS dropped, count(*) FILTER (NOT noise) AS kept FROM (SELECT doc_id, length(l) < 20 AS noise FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents)) GROUP BY doc_id")
@@ -421,11 +438,20 @@ def parse_formats(spark, d):
     return rows.select("p_partkey", "file_position", "title", F.array_join("ingredients", "|").alias("items"), F.array_join("instructions", "|").alias("steps"))
 
 
-@query("SELECT page_id, true AS failed FROM pages")
+@query("SELECT page_id, page_id % 3 = 2 AS failed, CASE page_id % 3 WHEN 0 THEN 'Soup ' || page_id WHEN 1 THEN 'Pie ' || page_id END AS title, CASE WHEN page_id % 3 < 2 THEN 2 ELSE 0 END AS n_items FROM pages")
 def parse_pages(spark, d):
-    pages = table(spark, d, "pages")
-    parsed = files.parse_documents(pages, F.concat(F.col("page_id").cast("string"), F.lit(".html")), F.col("html"))
-    return parsed.select("page_id", F.col("parsed.error").isNotNull().alias("failed"))
+    """Pages with linked data, with microdata, and with neither, after the pages' own markup, which some leave open."""
+    k = F.col("page_id").cast("string")
+    linked = F.concat(F.lit('<script type="application/ld+json">{"@type": "Recipe", "name": "Soup '), k, F.lit('", "recipeIngredient": ["1 leek", "2 carrots"], "recipeInstructions": ["Cut.", "Cook."]}</script>'))
+    micro = F.concat(
+        F.lit('<div itemscope itemtype="http://schema.org/Recipe"><h1 itemprop="name">Pie '), k,
+        F.lit('</h1><p itemprop="recipeIngredient">3 apples</p><p itemprop="recipeIngredient">dough</p><p itemprop="recipeInstructions">Bake it.</p></div>'),
+    )
+    part = F.when(F.col("page_id") % 3 == 0, linked).when(F.col("page_id") % 3 == 1, micro).otherwise(F.lit(""))
+    pages = table(spark, d, "pages").select("page_id", F.concat("html", part).alias("html"))
+    parsed = files.parse_documents(pages, F.concat(k, F.lit(".html")), F.col("html"))
+    first = F.get("parsed.records", F.lit(0))
+    return parsed.select("page_id", F.col("parsed.error").isNotNull().alias("failed"), first["title"].alias("title"), F.coalesce(F.size(first["ingredients"]), F.lit(0)).alias("n_items"))
 
 
 @query("""SELECT o_orderkey, k * 2 + 1 AS operations, CASE WHEN k % 3 = 0 THEN 'bowl,pan' ELSE 'pan' END AS vessels, CASE WHEN k % 3 = 0 THEN 3 ELSE 2 END AS vessel_count, greatest(CASE WHEN k % 2 = 0 THEN 60.0 * (k + 1) ELSE 0 END, 10.0 + k)::DOUBLE AS lower_bound, k % 5 = 0 AS advance

@@ -20,8 +20,28 @@ MAX_MEMBERS = 2000
 MAX_MEMBER_BYTES = 16 * 1024 * 1024
 MAX_TOTAL_BYTES = 64 * 1024 * 1024
 MAX_DEPTH = 1
-TEXT_KINDS = frozenset(".json .md .markdown .yaml .yml .html .htm .csv .paprikarecipe .zip".split())
-TABLE_KINDS = frozenset(".db .sqlite .sqlite3 .dsv".split())
+TEXT_KINDS = frozenset(
+    {
+        ".json",
+        ".md",
+        ".markdown",
+        ".yaml",
+        ".yml",
+        ".html",
+        ".htm",
+        ".csv",
+        ".paprikarecipe",
+        ".zip",
+    }
+)
+TABLE_KINDS = frozenset(
+    {
+        ".db",
+        ".sqlite",
+        ".sqlite3",
+        ".dsv",
+    }
+)
 ROW_MARK, FIELD_MARK = "!@#%^&*()", "||||"
 TABLES = {"recipe": "temp_recipe.dsv", "name": "temp_recipe_desc.dsv", "item": "temp_ingredient.dsv", "food": "temp_food.dsv", "unit": "temp_unit.dsv"}
 BACKUP_TABLES = ("recipes", "recipe_instructions", "recipes_ingredients")

@@ -16,7 +16,7 @@ from ..functions.workers import ready
 from . import archive, markup, prose
 from .record import RECORD, complete, from_object, objects_in
 
-PARSED = f"records array<struct<{RECORD.replace(' string', ':string').replace(' double', ':double').replace(' int', ':int').replace(' array', ':array')}>>, outcomes array<struct<{archive.OUTCOME.replace(' string', ':string').replace(' int', ':int')}>>, error string, no_records boolean"
+PARSED = f"records array<struct<{RECORD.replace(' string', ':string').replace(' double', ':double').replace(' int', ':int').replace(' array', ':array')}>>, outcomes array<struct<{archive.OUTCOME.replace(' string', ':string').replace(' int', ':int')}>>, error string, no_records boolean, retryable boolean"
 _FIELDS = [f.split(" ")[0] for f in RECORD.split(", ")]
 
 
@@ -110,20 +110,21 @@ def _parse_file(path: str | None, content: bytes | None, layouts: dict | None) -
             raise ValueError("no record in this file")
         if not all(map(complete, records)):
             raise ValueError("a record has no items or no steps")
-        return [{f: r.get(f) for f in _FIELDS} for r in records], outcomes, None, False
+        return [{f: r.get(f) for f in _FIELDS} for r in records], outcomes, None, False, False
     except archive.NoRecords as e:
-        return [], outcomes, str(e), True
+        return [], outcomes, str(e), True, False
     except Exception as e:  # noqa: BLE001  a file that no reader can take is an outcome, not the job's end
         empty = bool(outcomes) and all(o["status"] == "excluded" for o in outcomes) and any(o["classification"] for o in outcomes)
-        return [], outcomes, f"{type(e).__name__}: {e}", empty
+        # What the content says won't change; anything else may go well another time.
+        return [], outcomes, f"{type(e).__name__}: {e}", empty, not isinstance(e, (ValueError, TypeError))
 
 
 def parser(layouts: dict | None = None):
-    """An Arrow function (path, content as binary) -> struct<records, outcomes, error, no_records>. A file is taken whole or not at all."""
+    """An Arrow function (path, content as binary) -> struct<records, outcomes, error, no_records, retryable>. A file is taken whole or not at all."""
 
     @F.pandas_udf(PARSED)
     def parse_files(paths: pd.Series, contents: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_parse_file(p, c, layouts) for p, c in zip(paths, contents, strict=True)], columns=["records", "outcomes", "error", "no_records"])
+        return pd.DataFrame([_parse_file(p, c, layouts) for p, c in zip(paths, contents, strict=True)], columns=["records", "outcomes", "error", "no_records", "retryable"])
 
     return parse_files
 
