@@ -24,9 +24,9 @@ def value(spark, column):
 
 def test_signals(spark):
     none = F.lit(None).cast("array<string>")
-    s = value(spark, signals.practical(none))
+    s = signals.with_practical(spark.range(1), none, "p").first()["p"]
     assert (s["operations"], s["vessels"], s["lower_bound"], s["advance"], s["labour"]) == (0, [], 0.0, False, False)
-    s = value(spark, signals.practical(F.array(F.lit("Knead in a bowl, deep-fry. Rest two hours. Store for 9 hours."))))
+    s = signals.with_practical(spark.range(1), F.array(F.lit("Knead in a bowl, deep-fry. Rest two hours. Store for 9 hours.")), "p").first()["p"]
     assert (s["operations"], s["vessels"], s["lower_bound"], s["labour"]) == (2, ["bowl"], 120.0, True)
     assert value(spark, signals.method_tags(F.lit("One-pot soup"), F.array(F.lit("Oven")), none, none)) == ["oven", "one-pan"]
     assert value(spark, signals.practical_methods(none, F.lit("One_pan salad"), F.lit("Salad"), F.array(F.lit("Toss.")))) == ["no-cook", "one-pan"]

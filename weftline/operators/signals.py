@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.binding import let
+from ..functions.binding import fresh
 
 # Cooking methods by the lower-cased title, equipment, tags and steps; more of them by the title alone.
 METHODS = (
@@ -72,34 +72,35 @@ def practical_methods(methods: Column, title: Column, meal_type: Column, steps:
     return F.array_sort(F.array_distinct(found))
 
 
-def _waits(text: Column) -> Column:
-    """(minutes of all waits that sentences on waiting name, whether one is named that needs a day) without sentences on keeping."""
-    words = text
-    for n, w in enumerate(NUMBER_WORDS, 1):
-        words = F.regexp_replace(words, rf"(?i)\b{w}\s+(hours?|minutes?)\b", f"{n} $1")
-    # A point within a number also ends a sentence.
-    sentences = F.filter(F.split(words, "[.!?。]"), lambda s: ~s.rlike(KEEPING) & s.rlike(WAITING))
-    pattern = r"(?i)([0-9]+(?:\.[0-9]+)?\s*(?:[-–]\s*[0-9]+)?\s*(?:hours?|minutes?)\b)"
+_COUNT = rf"\b(?:{'|'.join(NUMBER_WORDS)})(?=\s+(?:hours?|minutes?)\b)"
+#: A duration, its first number and its unit; a number word counts only right before the unit.
+DURATION = rf"(?i)((?:[0-9]+(?:\.[0-9]+)?|{_COUNT})\s*(?:[-–]\s*(?:[0-9]+|{_COUNT}))?\s*(?:hours?|minutes?)\b)"
 
-    def value(m: Column) -> Column:
-        return F.regexp_extract(m, r"^([0-9]+(?:\.[0-9]+)?)", 1).cast("double") * F.when(m.rlike("(?i)hours?$"), 60).otherwise(1)
 
-    found = F.flatten(F.transform(sentences, lambda s: F.transform(F.regexp_extract_all(s, F.lit(pattern), F.lit(1)), value)))
-    return F.struct(F.coalesce(F.array_max(found), F.lit(0.0)).alias("longest"), F.exists(sentences, lambda s: s.rlike(AHEAD)).alias("ahead"))
+def _minutes(found: Column) -> Column:
+    """Minutes of one match of DURATION."""
+    number = F.regexp_extract(found, r"^([0-9]+(?:\.[0-9]+)?)", 1)
+    word = F.array_position(F.array(*map(F.lit, NUMBER_WORDS)), F.lower(F.regexp_extract(found, r"^([A-Za-z]+)", 1))).cast("double")
+    return F.when(number != "", number.cast("double")).otherwise(word) * F.when(found.rlike("(?i)hours?$"), 60).otherwise(1)
 
 
-def practical(steps: Column) -> Column:
-    """struct<operations, labour, vessels, vessel_count, lower_bound, advance> of a record's steps; null steps are none."""
+def with_practical(rows: DataFrame, steps: Column, out_col: str = "practical") -> DataFrame:
+    """rows with struct<operations, labour, vessels, vessel_count, lower_bound, advance> of a record's steps; null steps are none.
 
-    def signals(text: Column) -> Column:
-        vessels = F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(VESSELS), F.lit(1))))
-        more = F.size(F.regexp_extract_all(text, F.lit(MORE_VESSELS), F.lit(1)))
-        return let(_waits(text), lambda w: F.struct(
-            F.size(F.regexp_extract_all(text, F.lit(OPERATIONS), F.lit(1))).alias("operations"), text.rlike(LABOUR).alias("labour"), vessels.alias("vessels"),
-            (F.size(vessels) + more).alias("vessel_count"), w["longest"].alias("lower_bound"), w["ahead"].alias("advance"),
-        ))
-
-    return let(F.array_join(_list(steps), " "), signals)
+    Sentences on keeping food are passed over, and only sentences on waiting have durations; these are joined to one
+    text, so that each pattern runs over it once. Texts are made in projections of their own: as parts of one
+    expression, each of their uses would make them again."""
+    text, waits, vessels = (fresh(c, rows.columns) for c in ("_text", "_waits", "_vessels"))
+    # A point within a number also ends a sentence. A text that never waits is not split at all.
+    sentences = F.filter(F.split(text, "[.!?。]"), lambda s: s.rlike(WAITING) & ~s.rlike(KEEPING))
+    bound = rows.withColumn(text, F.array_join(_list(steps), " ")).withColumn(waits, F.when(F.col(text).rlike(WAITING), F.array_join(sentences, " . ")).otherwise(""))
+    bound = bound.withColumn(vessels, F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(VESSELS), F.lit(1)))))
+    longest = F.array_max(F.transform(F.regexp_extract_all(waits, F.lit(DURATION), F.lit(1)), _minutes))
+    out = F.struct(
+        F.regexp_count(text, F.lit(OPERATIONS)).alias("operations"), F.col(text).rlike(LABOUR).alias("labour"), F.col(vessels).alias("vessels"),
+        (F.size(vessels) + F.regexp_count(text, F.lit(MORE_VESSELS))).alias("vessel_count"), F.coalesce(longest, F.lit(0.0)).alias("lower_bound"), F.col(waits).rlike(AHEAD).alias("advance"),
+    )
+    return bound.withColumn(out_col, out).drop(text, waits, vessels)
 
 
 def major_protein(items: Column) -> Column:

@@ -463,7 +463,7 @@ def practical_signals(spark, d):
         F.concat(F.repeat(F.lit("chop and whisk "), k), F.lit("it in the pan. Use another large pan and stir.")), F.concat(F.lit("Bake "), n(k + 10), F.lit("-99 minutes")),
         F.when(k % 2 == 0, F.concat(F.lit(". Chill for "), n(k + 1), F.lit(" hours. "))).otherwise(". It keeps for 90 hours, chill it. "), F.when(k % 5 == 0, "Marinate overnight.").otherwise("Done."), F.when(k % 3 == 0, "The bowl is hot").otherwise(""),
     )
-    rows = table(spark, d, "orders").select("o_orderkey", signals.practical(steps).alias("s"))
+    rows = signals.with_practical(table(spark, d, "orders").select("o_orderkey", steps.alias("steps")), F.col("steps"), "s")
     return rows.select("o_orderkey", "s.operations", F.array_join("s.vessels", ",").alias("vessels"), "s.vessel_count", "s.lower_bound", "s.advance")
 
 
