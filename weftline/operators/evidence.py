@@ -67,3 +67,19 @@ def prefix_rules(products: DataFrame, rules: DataFrame, slug: str = "slug", pref
     marks = F.filter(F.sequence(F.lit(2), F.greatest(F.length(slug), F.lit(2))), lambda i: F.substr(F.col(slug), i, F.lit(1)).rlike("[0-9]"))
     keyed = products.withColumn("_prefix", F.explode(F.transform(marks, lambda i: F.substr(F.col(slug), F.lit(1), i - 1))))
     return keyed.join(rules, F.col("_prefix") == F.col(prefix)).drop("_prefix")
+
+
+def with_inventory(items: DataFrame, entries: DataFrame, item: str, n_evidence: Column, *ties: Column) -> DataFrame:
+    """items with the columns of their name's best entry, null where there is none: one entry a name is chosen first, so no item is repeated."""
+    return items.join(winners(entries, item, n_evidence, *ties), item, "left")
+
+
+def state_counts(rows: DataFrame, group: list[str], state: str) -> DataFrame:
+    """(group, verified, likely, unknown, unavailable): how many rows are in each state; a null state is unknown."""
+    names = {"verified": "verified_available", "likely": "likely_available", "unknown": "unknown", "unavailable": "unavailable"}
+    return rows.groupBy(*group).agg(*(F.count_if(F.coalesce(state, F.lit("unknown")) == value).alias(name) for name, value in names.items()))
+
+
+def matched_rollup(pairs: DataFrame, item: str, product: str, observed: str) -> DataFrame:
+    """(item, product_ids, n_products, last_observed) from pairs of products and the items that rules give them."""
+    return pairs.groupBy(item).agg(F.sort_array(F.collect_set(product)).alias("product_ids"), F.count_distinct(product).alias("n_products"), F.max(observed).alias("last_observed"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.measure import metric_text
+
 # Labels of times in a text's lines, and what a time looks like.
 TIME_LABELS = {
     "active_minutes": r"active(?: cooking)? time|hands.on time",
@@ -30,6 +32,16 @@ def rewrite_strings(column: Column, kind: T.DataType, rewrite, skip: tuple[str,
     return column
 
 
+#: Units that nothing published may name, and what stands where one could not be converted.
+FORBIDDEN = r"(?i)\b(?:tsp|tbsp|teaspoons?|tablespoons?)\b"
+PLACEHOLDER = "[volume measure unavailable]"
+
+
+def without_units(text: Column) -> Column:
+    """text in metric units; what is left of a forbidden unit becomes the placeholder. Null stays null."""
+    return F.when(text.isNotNull(), F.regexp_replace(metric_text(text), FORBIDDEN, PLACEHOLDER))
+
+
 def publish(rows: DataFrame, fields: list[str], rewrite=None, skip: tuple[str, ...] = (), redact: dict[str, Column] | None = None) -> DataFrame:
     """Only the allowed fields; arrays in redact are emptied unless their condition is true; strings are rewritten."""
     out = rows.select(*(c for c in fields if c in rows.columns), *(ok.alias(f"_ok_{c}") for c, ok in (redact or {}).items()))

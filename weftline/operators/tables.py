@@ -51,6 +51,12 @@ def duplicate_groups(records: DataFrame, fingerprint: str, key: str) -> DataFram
     return records.groupBy(fingerprint).agg(F.min(key).alias("representative"), F.sort_array(F.collect_list(key)).alias("ids"), F.count("*").alias("size"))
 
 
+def duplicate_members(records: DataFrame, fingerprint: str, key: str) -> DataFrame:
+    """(fingerprint, key, representative): membership as rows, so that a group of any size is never one value."""
+    first = records.groupBy(fingerprint).agg(F.min(key).alias("representative"), F.count("*").alias("_size")).where("_size > 1").drop("_size")
+    return records.select(fingerprint, key).join(first, fingerprint)
+
+
 def duplicate_manifest(groups: DataFrame) -> DataFrame:
     return groups.agg(F.count("*").alias("groups"), F.count_if(F.col("size") > 1).alias("multi_member_groups"), F.coalesce(F.sum(F.col("size") - 1), F.lit(0)).cast("bigint").alias("duplicate_records"))
 
@@ -174,3 +180,12 @@ def breakdown(rows: DataFrame, dimensions: list[str]) -> DataFrame:
 def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows that only one of two tables has (with multiplicity); none if a repeated run gives the same."""
     return a.exceptAll(b).withColumn("side", F.lit("first")).unionByName(b.exceptAll(a).withColumn("side", F.lit("second")))
+
+
+def named(rows: DataFrame, names: DataFrame, key: str, name: str, otherwise: Column | None = None) -> DataFrame:
+    """rows with the name of their key: only rows that have one, or all rows with otherwise for those that have none.
+
+    names has at most one name for each key that matters; of more, the least counts."""
+    one = names.groupBy(key).agg(F.min(name).alias(name))
+    out = rows.drop(name).join(one, key, "inner" if otherwise is None else "left")
+    return out if otherwise is None else out.withColumn(name, F.coalesce(name, otherwise))

@@ -10,13 +10,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import scoring, tables
-from ..operators.evidence import any_known
 
 
 def inventory(lineitem: DataFrame) -> DataFrame:
-    """(l_partkey, available, n_suppliers, state): A is in stock, R is out of stock, N is unknown."""
+    """(l_partkey, available, n_suppliers, state): A is in stock, R is out of stock, N is unknown.
+
+    In two steps, by supplier and then by part, so that counting suppliers multiplies no rows; a part's rows are summed
+    in the tasks before either exchange."""
     seen = F.when(F.col("l_returnflag") == "A", True).when(F.col("l_returnflag") == "R", False)
-    rows = lineitem.groupBy("l_partkey").agg(any_known(seen).alias("available"), F.count_distinct("l_suppkey").alias("n_suppliers"))
+    some, none = F.bool_or(F.coalesce(seen, F.lit(False))), F.bool_and(F.coalesce(~seen, F.lit(False)))
+    sold = lineitem.groupBy("l_partkey", "l_suppkey").agg(some.alias("some"), none.alias("none"))
+    rows = sold.groupBy("l_partkey").agg(F.when(F.bool_or("some"), True).when(F.bool_and("none"), False).alias("available"), F.count("l_suppkey").alias("n_suppliers"))
     state = F.when(F.col("available") & (F.col("n_suppliers") >= 10), "verified").when(F.col("available"), "likely").when(~F.col("available"), "unavailable").otherwise("unknown")
     return rows.withColumn("state", state)
 
@@ -25,7 +29,8 @@ def scored_records(orders: DataFrame, lineitem: DataFrame, part: DataFrame, w: s
     stock = inventory(lineitem).select("l_partkey", "state")
     big = part.select(F.col("p_partkey").alias("l_partkey"), (F.col("p_size") >= 25).alias("protein"), F.col("p_type").isNotNull().alias("named"))
     lines = lineitem.select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_discount", F.date_diff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date")).alias("day"))
-    items = lines.join(stock, "l_partkey").join(big, "l_partkey")
+    # Both sides have a row for each part; joined first, lines are exchanged by part once.
+    items = lines.join(stock.join(big, "l_partkey"), "l_partkey")
     optional = F.col("l_linenumber") > 4
     credit = F.when(F.col("state").isin("verified", "likely"), 1.0).otherwise(w.unknown_credit)
     per = items.groupBy("l_orderkey").agg(

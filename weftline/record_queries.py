@@ -10,7 +10,7 @@ from .functions import identity, ingredients, measure
 from .functions import text as tx
 from .operators import evidence, meals, publish, search, tables
 from .queries import ORACLE_SQL, QUERIES, query, table
-from .sources import sitemap
+from .sources import documents, prose, sitemap
 from .streaming import ingest
 
 _VOCABULARY = {"ring": ["rings"], "widget": ["widgets"], "bolt": [], "gear": ["gears", "cog wheel"]}
@@ -284,4 +284,109 @@ def sitemap_urls(spark, d):
     return sitemap.read_sitemap(spark, folder)
 
 
+_LAYOUTS = {"inter/": prose.interleaved, "lead/": prose.leading_list}
+
+
+@query("""SELECT p_partkey, pos AS file_position, CASE WHEN k = 0 THEN ['A ', 'B '][pos + 1] || p_name ELSE p_name END AS title, CASE k WHEN 0 THEN [p_brand, p_type][pos + 1] WHEN 3 THEN '1 g ' || p_brand || '|2 g ' || p_type || '|3 g salt' ELSE p_brand || '|' || p_type END AS items,
+CASE k WHEN 0 THEN 'Mix.' WHEN 1 THEN 'Chop:|Fry:' WHEN 2 THEN 'Mix.|Bake.' WHEN 3 THEN 'Mix it.' ELSE 'Mix.|Serve.' END AS steps
+FROM (SELECT *, CAST(p_partkey % 5 AS INTEGER) AS k, unnest(CASE WHEN p_partkey % 5 = 0 THEN [0, 1] ELSE [0] END) AS pos FROM part)""")
+def parse_layouts(spark, d):
+    """Several cards in a file, interleaved and leading lists, scans, export cards."""
+    c = {k: F.col(k).cast("string") for k in ("p_name", "p_brand", "p_type", "p_partkey")}
+    say = lambda *parts: F.concat(*(c[x] if x in c else F.lit(x) for x in parts))
+    bodies = [
+        ("", ".md", say("# A ", "p_name", "\n## Ingredients\n- ", "p_brand", "\n## Method\nMix.\n# B ", "p_name", "\n## Ingredients\n- ", "p_type", "\n## Method\nMix.\n")),
+        ("inter/", ".md", say("# ", "p_name", "\nChop:\n- ", "p_brand", "\nFry:\n- ", "p_type", "\n")),
+        ("lead/", ".md", say("p_name", "\n===\n- ", "p_brand", "\n- ", "p_type", "\n\nMix.\n1. Bake.\n# Notes\nz\n")),
+        ("", ".json", say('{"analyzeResult": {"content": "', "p_name", "\\nIngredients\\n1 g ", "p_brand", "\\n2 g ", "p_type", '\\n3 g salt\\nMethod\\nMix it."}}')),
+        ("", ".html", say('<div class="recipe-details"><h2 itemprop="name">', "p_name", '</h2><p class="recipeIngredient">', "p_brand", '</p><p class="recipeIngredient">', "p_type", '</p><p class="instruction">Mix.</p><p class="instruction">Serve.</p></div>')),
+    ]
+    kind, text, path = F.col("p_partkey") % 5, F.lit(None).cast("string"), F.lit(None).cast("string")
+    for k, (folder, end, body) in enumerate(bodies):
+        text, path = F.when(kind == k, body).otherwise(text), F.when(kind == k, say(folder, "p_partkey", end)).otherwise(path)
+    captured = table(spark, d, "part").select("p_partkey", path.alias("path"), text.alias("content"))
+    rows = documents.records(documents.parse_documents(captured, F.col("path"), F.col("content"), _LAYOUTS), ["p_partkey"])
+    return rows.select("p_partkey", "file_position", "title", F.array_join("ingredients", "|").alias("items"), F.array_join("instructions", "|").alias("steps"))
+
+
+@query("""WITH e AS (SELECT p_name, CASE p_size % 4 WHEN 0 THEN 'verified_available' WHEN 1 THEN 'likely_available' WHEN 2 THEN 'unavailable' ELSE 'unknown' END AS state FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_retailprice DESC, p_partkey) AS r FROM part WHERE p_name LIKE '%e%') WHERE r = 1)
+SELECT l_orderkey, count(*) FILTER (state = 'verified_available') AS verified, count(*) FILTER (state = 'likely_available') AS likely, count(*) FILTER (coalesce(state, 'unknown') = 'unknown') AS unknown, count(*) FILTER (state = 'unavailable') AS unavailable
+FROM lineitem JOIN part ON p_partkey = l_partkey LEFT JOIN e USING (p_name) GROUP BY l_orderkey""")
+def state_counts(spark, d):
+    """Items of orders with their name's best inventory entry, counted by its state."""
+    part = table(spark, d, "part")
+    kind = F.col("p_size") % 4
+    entries = part.where("p_name like '%e%'").select("p_name", "p_partkey", "p_retailprice", F.when(kind == 0, "verified_available").when(kind == 1, "likely_available").when(kind == 2, "unavailable").otherwise("unknown").alias("state"))
+    items = table(spark, d, "lineitem").join(part.select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey").select("l_orderkey", "p_name")
+    return evidence.state_counts(evidence.with_inventory(items, entries, "p_name", F.col("p_retailprice"), F.col("p_partkey")), ["l_orderkey"], "state")
+
+
+@query("""SELECT rule, count(DISTINCT p_partkey) AS n_products, min(p_partkey) AS first_id, max(p_size) AS last_observed FROM (SELECT *, lower(p_brand) AS slug FROM part)
+JOIN (VALUES ('brand#', 'any'), ('brand#1', 'one'), ('brand#2', 'two')) AS r(prefix, rule) ON starts_with(slug, prefix) AND regexp_matches(substr(slug, length(prefix) + 1, 1), '[0-9]') GROUP BY rule""")
+def evidence_rollup(spark, d):
+    rules = spark.createDataFrame([("brand#", "any"), ("brand#1", "one"), ("brand#2", "two")], "prefix string, rule string")
+    pairs = evidence.prefix_rules(table(spark, d, "part").select("p_partkey", "p_size", F.lower("p_brand").alias("slug")), rules)
+    return evidence.matched_rollup(pairs, "rule", "p_partkey", "p_size").select("rule", "n_products", F.get("product_ids", F.lit(0)).alias("first_id"), "last_observed")
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'Add ' || p_size * 15 || ' mL oil.' WHEN 1 THEN 'A 15 mL measure of ' || p_name ELSE p_name END AS text, 'https://x.example/2 tbsp/' || p_partkey AS url FROM part")
+def unit_rewrite(spark, d):
+    """Strings of any nesting in metric units; URLs stay as they are."""
+    n = F.col("p_size").cast("string")
+    text = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Add "), n, F.lit(" tbsp oil."))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("A tablespoon of "), "p_name")).otherwise(F.col("p_name"))
+    rows = table(spark, d, "part").select("p_partkey", F.array(F.struct(text.alias("text"), F.concat(F.lit("https://x.example/2 tbsp/"), F.col("p_partkey").cast("string")).alias("url"))).alias("deep"))
+    out = publish.publish(rows, ["p_partkey", "deep"], rewrite=publish.without_units, skip=("url",))
+    return out.select("p_partkey", F.col("deep")[0]["text"].alias("text"), F.col("deep")[0]["url"].alias("url"))
+
+
+@query("SELECT o_orderkey, coalesce(c_name, 'customer ' || o_custkey) AS name FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_nationkey < 12")
+def named_records(spark, d):
+    names = table(spark, d, "customer").where("c_nationkey < 12").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("name"))
+    return tables.named(table(spark, d, "orders").select("o_orderkey", "o_custkey"), names, "o_custkey", "name", F.concat(F.lit("customer "), F.col("o_custkey").cast("string"))).select("o_orderkey", "name")
+
+
+@query("SELECT p_partkey, trim(regexp_replace(lower(p_name || ' – ' || p_brand || '!'), '[^a-z0-9]+', ' ', 'g')) AS text FROM part")
+def search_texts(spark, d):
+    return table(spark, d, "part").select("p_partkey", tx.search_text(F.concat(F.upper("p_name"), F.lit(" – "), "p_brand", F.lit("!"))).alias("text"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_name LIKE '%e%' THEN 'explicit' WHEN p_brand IN ('Brand#1', 'Brand#2') THEN 'source-inference' END AS kind, CASE WHEN p_name LIKE '%e%' THEN p_name WHEN p_brand IN ('Brand#1', 'Brand#2') THEN 'known brand' END AS value FROM part""")
+def group_basis(spark, d):
+    from .operators.scope import group_basis as basis
+
+    source = F.concat("p_brand", F.lit("/"))
+    return table(spark, d, "part").select("p_partkey", basis(F.col("p_name"), ["e"], source, {"Brand#1/": "known brand", "Brand#2/": "known brand"}).alias("b")).select("p_partkey", "b.kind", "b.value")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Italian' WHEN 1 THEN 'Portuguese,Spanish' WHEN 2 THEN 'Italian,Portuguese,Spanish' ELSE 'Unknown' END AS labels FROM part""")
+def cuisine_labels(spark, d):
+    said = F.element_at(F.array(*map(F.lit, ("ITALIAN", " iberian ", "iberian, italian,x", "other"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return table(spark, d, "part").select("p_partkey", F.array_join(tx.labels(said, {"italian": "Italian", "iberian": "Spanish,Portuguese"}), ",").alias("labels"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_name LIKE 'red%' AND p_name NOT LIKE '%ring' THEN 'side' WHEN p_partkey % 5 = 0 THEN 'drink' WHEN p_size > 20 AND p_partkey % 2 = 0 THEN 'meal_candidate' ELSE 'unknown' END AS role FROM part""")
+def dish_roles(spark, d):
+    from .operators.classify import dish_role
+
+    tags = F.when(F.col("p_partkey") % 5 == 0, F.array(F.lit("cold"), F.lit("Drink")))
+    return table(spark, d, "part").select("p_partkey", dish_role(F.col("p_name"), tags, [("side", r"^red\b")], r"ring$", F.col("p_size") > 20, F.col("p_partkey") % 2 == 0).alias("role"))
+
+
+@query("""SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_partkey % 2 = 0 THEN 'oven' END, CASE WHEN p_partkey % 3 = 0 THEN 'stovetop' END, CASE WHEN p_partkey % 5 = 0 THEN 'one-pan' END, CASE WHEN p_partkey % 7 = 0 THEN 'microwave' END], lambda x: x IS NOT NULL), ',') AS methods FROM part""")
+def method_tags(spark, d):
+    from .operators import signals
+
+    k = F.col("p_partkey")
+    none = F.array().cast("array<string>")
+    some = lambda n, text: F.when(k % n == 0, F.array(F.lit(text))).otherwise(none)
+    title = F.when(k % 5 == 0, F.concat(F.lit("One-Pot "), "p_name")).otherwise(F.col("p_name"))
+    return table(spark, d, "part").select("p_partkey", F.array_join(signals.method_tags(title, some(2, "Oven"), some(3, "a skillet"), some(7, "Use the microwave.")), ",").alias("methods"))
+
+
+@query("SELECT o_orderkey, representative FROM (SELECT o_orderkey, min(o_orderkey) OVER (PARTITION BY o_custkey, o_orderstatus) AS representative, count(*) OVER (PARTITION BY o_custkey, o_orderstatus) AS n FROM orders) WHERE n > 1")
+def duplicate_members(spark, d):
+    orders = table(spark, d, "orders").select("o_orderkey", F.concat_ws("/", "o_custkey", "o_orderstatus").alias("mark"))
+    return tables.duplicate_members(orders, "mark", "o_orderkey").select("o_orderkey", "representative")
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]
