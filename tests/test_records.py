@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as tx
 from weftline.operators import collection, meals, publish, search, site, tables
-from weftline.sources import documents, gittree, rules
+from weftline.sources import documents, gittree, rules, web
 
 
 def one(spark, column, **values):
@@ -152,3 +152,25 @@ def test_git_tree_in_one_process(spark, tmp_path):
 def test_parser_says_what_may_be_tried_again():
     assert documents._parse_file("a.zip", b"no archive", None)[4] is True and documents._parse_file("a.md", b"", None)[4] is False
     assert documents._parse_file("a.txt.gz", b"no gzip", None)[4] is True
+
+
+def test_fetch(spark):
+    answers = {
+        "https://a.example/robots.txt": (200, "User-agent: *\nDisallow: /no\nCrawl-delay: 0\n"), "https://a.example/x": (200, "<b>1 &eacute;</b>"), "https://a.example/no": (200, "never"),
+        "https://b.example/robots.txt": (301, ""), "https://c.example/x": (429, ""), "https://c.example/y": (404, ""),
+    }
+    urls = spark.createDataFrame([(u,) for u in ("https://a.example/x", "https://a.example/x", "https://a.example/no", "https://b.example/x", "https://c.example/x", "https://c.example/y", "nonsense", None, "https://a.example/kept")], "u string")
+    cache = spark.createDataFrame([("https://a.example/kept", "old")], "url string, body string")
+    got = {r["url"]: (r["outcome"], r["body"], r["retryable"]) for r in web.fetch(urls, "u", web.replay(answers), "agent", cache).collect()}
+    assert got == {
+        "https://a.example/x": ("fetched", "<b>1 &eacute;</b>", False), "https://a.example/no": ("blocked", None, False), "https://b.example/x": ("blocked", None, False), "https://c.example/x": ("blocked", None, False),
+        "https://c.example/y": ("failed", None, False), "nonsense": ("failed", None, False), "https://a.example/kept": ("cached", "old", False),
+    }
+
+    def broken(url):
+        raise OSError("down")
+
+    assert {(r["outcome"], r["retryable"]) for r in web.fetch(urls.where("u like '%x'"), "u", broken, "agent").collect()} == {("failed", True)}
+    assert web.fetch(urls.where("false"), "u", broken, "agent").count() == 0
+    fields = web.page_fields(spark.createDataFrame([("<b>1 &eacute;</b>",), ("",), (None,)], "h string"), "h", {"b": "<b>([^<]+)"}).collect()
+    assert [r["b"] for r in fields] == ["1 é", None, None]

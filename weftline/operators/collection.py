@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -156,6 +157,23 @@ def snapshot_status(discovery_complete: Column, pending: Column, failed: Column,
     return F.when(blocked, "blocked").when(~final, "incomplete").when(failed > 0, "complete-with-failures").otherwise("complete")
 
 
+def snapshot(discovered: DataFrame, outcomes: list[DataFrame], source: str = "source", url: str = "url") -> DataFrame:
+    """(source, discovered, fetched, failed, blocked, pending, status) of a collection whose parts ran side by side.
+
+    discovered: (source, url, complete), complete being true where discovery ended; outcomes: each part's (url, outcome). A URL
+    that several parts report counts once, by its best outcome; what nobody reports is pending. A source is final only
+    where discovery ended and nothing is pending."""
+    rank = F.when(F.col("outcome").isin("fetched", "cached"), 0).when(F.col("outcome") == "blocked", 1).otherwise(2)
+    reported = reduce(DataFrame.unionByName, [p.select(url, "outcome") for p in outcomes]).groupBy(url).agg(F.min(rank).alias("_rank"))
+    wanted = discovered.groupBy(source, url).agg(F.bool_and(F.coalesce("complete", F.lit(False))).alias("complete"))
+    rows = wanted.join(reported, url, "left").groupBy(source).agg(
+        F.count("*").alias("discovered"), F.count_if(F.col("_rank") == 0).alias("fetched"), F.count_if(F.col("_rank") == 2).alias("failed"), F.count_if(F.col("_rank") == 1).alias("blocked"),
+        F.count_if(F.col("_rank").isNull()).alias("pending"), F.bool_and("complete").alias("_complete"),
+    )
+    status = snapshot_status(F.col("_complete"), F.col("pending"), F.col("failed"), F.col("blocked") == F.col("discovered"))
+    return rows.withColumn("status", status).drop("_complete")
+
+
 def extended_plan(plan: DataFrame, candidates: DataFrame, revisions: DataFrame, size: int, agents: int) -> DataFrame:
     """New (source, path, revision, agent) rows for candidates (source, path, revision) that no agent owns yet.
 

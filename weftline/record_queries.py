@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from .functions import identity, ingredients, measure
 from .functions import text as tx
-from .operators import evidence, meals, publish, search, tables
+from .operators import collection, evidence, meals, publish, search, tables
 from .queries import ORACLE_SQL, QUERIES, query, table
-from .sources import documents, prose, sitemap
+from .sources import documents, prose, sitemap, web
 from .streaming import ingest
 
 _VOCABULARY = {"ring": ["rings"], "widget": ["widgets"], "bolt": [], "gear": ["gears", "cog wheel"]}
@@ -389,4 +389,38 @@ def duplicate_members(spark, d):
     return tables.duplicate_members(orders, "mark", "o_orderkey").select("o_orderkey", "representative")
 
 
+def recorded_answer(url: str) -> tuple[int, str]:
+    """Answers of five hosts: one with rules, one without, one that refuses access, one that is broken, one with no rules file."""
+    host, _, path = url.removeprefix("https://").partition("/")
+    if path == "robots.txt":
+        return {"h0.example": (200, "User-agent: *\nDisallow: /p/1\n"), "h2.example": (403, ""), "h3.example": (503, "")}.get(host, (404, ""))
+    k = int(path.removeprefix("p/"))
+    return (500, "") if k % 7 == 0 else (302, "") if k % 11 == 0 else (200, f"<p itemprop=\"name\">page &amp; {k}</p>")
+
+
+@query("""WITH p AS (SELECT page_id AS k, page_id % 5 AS h FROM pages)
+SELECT k AS page_id, CASE WHEN k % 10 = 4 THEN 'cached' WHEN h = 2 THEN 'blocked' WHEN h = 3 THEN 'failed' WHEN h = 0 AND starts_with(CAST(k AS VARCHAR), '1') THEN 'blocked' WHEN k % 7 = 0 THEN 'failed' WHEN k % 11 = 0 THEN 'blocked' ELSE 'fetched' END AS outcome,
+CASE WHEN k % 10 = 4 THEN 'kept' WHEN h IN (2, 3) OR (h = 0 AND starts_with(CAST(k AS VARCHAR), '1')) OR k % 7 = 0 OR k % 11 = 0 THEN NULL ELSE 'page & ' || k END AS name,
+k % 10 <> 4 AND (h = 3 OR (h <> 2 AND NOT (h = 0 AND starts_with(CAST(k AS VARCHAR), '1')) AND k % 7 = 0)) AS retryable FROM p""")
+def replayed_fetch(spark, d):
+    """Pages through a client of recorded answers, with robots' rules, refusals, redirects, errors and a cache."""
+    k = F.col("page_id")
+    urls = table(spark, d, "pages").select("page_id", F.concat(F.lit("https://h"), (k % 5).cast("string"), F.lit(".example/p/"), k.cast("string")).alias("url"))
+    cache = urls.where("page_id % 10 = 4").select("url", F.lit("<p itemprop=\"name\">kept</p>").alias("body"))
+    got = web.page_fields(web.fetch(urls, "url", recorded_answer, "weftline", cache), "body", {"name": 'itemprop="name">([^<]+)'})
+    return urls.join(got, "url").select("page_id", "outcome", "name", "retryable")
+
+
+@query("""WITH o AS (SELECT o_custkey % 50 AS source, o_orderkey AS url, o_custkey % 50 <> 7 AS complete, CASE WHEN o_custkey % 50 = 3 THEN 'blocked' WHEN o_orderkey % 97 = 0 THEN 'failed' WHEN o_orderkey % 89 = 0 AND o_custkey % 50 < 25 THEN NULL ELSE 'fetched' END AS outcome FROM orders),
+s AS (SELECT source, count(*) AS discovered, count(*) FILTER (outcome = 'fetched') AS fetched, count(*) FILTER (outcome = 'failed') AS failed, count(*) FILTER (outcome = 'blocked') AS blocked, count(*) FILTER (outcome IS NULL) AS pending, bool_and(complete) AS c FROM o GROUP BY source)
+SELECT source, discovered, fetched, failed, blocked, pending, CASE WHEN blocked = discovered THEN 'blocked' WHEN NOT c OR pending > 0 THEN 'incomplete' WHEN failed > 0 THEN 'complete-with-failures' ELSE 'complete' END AS status FROM s""")
+def product_snapshot(spark, d):
+    """Three parts' outcomes, one URL in several of them, merged to the state of each source."""
+    source, url = F.col("o_custkey") % 50, F.col("o_orderkey")
+    rows = table(spark, d, "orders").select(source.alias("source"), url.alias("url"), (source != 7).alias("complete"), F.when(source == 3, "blocked").when(url % 97 == 0, "failed").when((url % 89 == 0) & (source < 25), None).otherwise("fetched").alias("outcome"))
+    told = rows.where("outcome is not null")
+    again = told.where("url % 4 = 1").withColumn("outcome", F.lit("failed"))
+    return collection.snapshot(rows, [told.where("url % 2 = 0"), told.where("url % 2 = 1"), again])
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]
