@@ -1,3 +1,5 @@
+import pytest
+
 from weftline.llm import license_scan
 
 MIT = "Permission is hereby granted, free of charge, to any person\n# obtaining a copy of this software and associated\n# documentation files (the Software)"
@@ -15,3 +17,10 @@ def test_wrapped_and_scattered_notices(spark):
     assert found[0] == found[5] == [("mit", want, 1.0)] and found[1] == [("apache-2", APACHE, 1.0)]
     assert found[2] == [] and found[3] == [("mit", "Released under\nthe MIT\nLicense", 1.0)]
     assert found[4] == [("mit", grant, 1.0)] * 2 and found[6] == [("mit", texts[6], 0.95)] and [m[0] for m in found[7]] == ["mit"]
+
+
+def test_templates_are_bounded(spark):
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="at most"):
+        license_scan.scan_licenses(docs, templates=(("w " * (license_scan.MAX_WORDS + 1), "big"),))
+    assert license_scan.scan_licenses(docs, templates=(), phrases=()).first()["matches"] == []

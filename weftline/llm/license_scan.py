@@ -7,8 +7,8 @@ are ordered by their frequency over all documents (a first pass counts the templ
 of sums), rarest first. A template T needs an overlap of o = ceil(t |T|), so a window must contain one of its
 first |T| - o + 1 words (prefix filter). Within reach of that word's windows, o words of the templates'
 vocabulary must stand (length filter), and o distinct ones of T that are this word or follow it in the order
-(positional filter). What is left is verified by counting in each window. Templates are a parameter of fixed
-size; nothing is shuffled but the counts. Of a template's overlapping windows that meet the threshold, the
+(positional filter). What is left is verified by counting in each window. Templates are a parameter,
+of at most MAX_WORDS words together (more are an error), and are broadcast; nothing is shuffled but the counts. Of a template's overlapping windows that meet the threshold, the
 best is reported, the first of equals.
 
 Beside the join, fixed phrases are found as consecutive words anywhere in the text, across lines too.
@@ -33,6 +33,7 @@ from .textkit import HashTable, ragged, slices, words
 
 THRESHOLD = 0.9
 PAIRS = 1 << 14  # windows or pairs that are expanded at a time
+MAX_WORDS = 1 << 16
 
 # Phrases and their labels.
 PHRASES = (
@@ -89,16 +90,16 @@ class Templates:
         self.vocabulary = vocabulary[np.lexsort((vocabulary, frequency))]
         number = {int(h): k for k, h in enumerate(self.vocabulary)}
         self.member = np.zeros((len(sets), len(vocabulary)), bool)
-        self.size = np.array([len(s) for s in sets])
-        self.need = np.array([max(1, ceil(threshold * len(s) - 1e-9)) for s in sets])
-        self.width = np.array([ceil(n / threshold - 1e-9) for n in length])
+        self.size = np.array([len(s) for s in sets], np.int64)
+        self.need = np.array([max(1, ceil(threshold * len(s) - 1e-9)) for s in sets], np.int64)
+        self.width = np.array([ceil(n / threshold - 1e-9) for n in length], np.int64)
         posting: list[list[int]] = [[] for _ in vocabulary]
         for k, s in enumerate(sets):
             ids = sorted(number[int(h)] for h in s)
             self.member[k, ids] = True
             for word in ids[: len(ids) - self.need[k] + 1]:
                 posting[word].append(k)
-        self.posting_at = np.concatenate([[0], np.cumsum([len(x) for x in posting])])
+        self.posting_at = np.cumsum([0, *(len(x) for x in posting)], dtype=np.int64)
         self.posting = np.array([x for some in posting for x in some], np.int64)
 
     def table(self) -> HashTable:
@@ -174,6 +175,8 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, thresho
     """docs with n_words, phrases (label and first word of every place) and matches (label, extent in bytes,
     containment of the best windows that meet a template's threshold)."""
     hashed = [_hashes(text) for text, _ in templates]
+    if sum(map(len, hashed)) > MAX_WORDS:
+        raise ValueError(f"templates have at most {MAX_WORDS} words together")
     sets = [np.unique(h) for h in hashed]
     vocabulary = np.unique(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
     joined = Templates(sets, [len(h) for h in hashed], vocabulary, count_words(docs, vocabulary, text_col), threshold)
@@ -189,7 +192,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, thresho
             for i, j, data, offsets in slices(batch.column(batch.schema.get_field_index(text_col))):
                 h, start, end, first = words(data, offsets)
                 n = j - i
-                places, kinds = [], []
+                places, kinds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 for k, (phrase, _) in enumerate(wanted):
                     at = np.flatnonzero(h[: max(0, len(h) - len(phrase) + 1)] == phrase[0])
                     for p in range(1, len(phrase)):
