@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, jaccard_join, license_scan, maxent_lm, quality_rules, token_counts, toxicity, url_filters
+from . import bpe, chat_format, decontaminate, fill_in_middle, jaccard_join, license_scan, maxent_lm, quality_rules, token_counts, toxicity, url_filters
 from .common import held_out, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -100,13 +100,19 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("fim")).alias("output_sha256"), digest(fill_in_middle.restored("fim", "form")).alias("restored_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_license_scans, op4_chat_format, op5_bpe, op6_token_counts, op7_decontamination, op8_lm_scoring, op9_quality_rules, op10_jaccard_join, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_license_scans, op4_chat_format, op5_bpe, op6_token_counts, op7_decontamination, op8_lm_scoring, op9_quality_rules, op10_jaccard_join, op11_fill_in_middle, pipeline)}
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 _INK = "[^\\x20\\x09-\\x0D]"
@@ -199,4 +205,15 @@ links AS (SELECT a AS doc_id, count(*) AS n FROM link GROUP BY a)
 SELECT doc_id, class_id, coalesce(n, 0) AS n_links FROM classes LEFT JOIN links USING (doc_id)
 """
 
-ORACLE_SQL = {"op2_url_filters": OP2_SQL, "op3_license_scans": OP3_SQL, "op4_chat_format": OP4_SQL, "op7_decontamination": OP7_SQL, "op9_quality_rules": OP9_SQL, "op10_jaccard_join": OP10_SQL}
+OP11_SQL = """
+WITH doc AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w, sha256('1:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+drawn AS (SELECT *, CAST(len(w) AS BIGINT) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM doc),
+cut AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+part AS (SELECT *, array_to_string(w[1 : a], '') AS p, array_to_string(w[a + 1 : b], '') AS m, array_to_string(w[b + 1 : n], '') AS s FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM part
+"""
+
+ORACLE_SQL = {"op2_url_filters": OP2_SQL, "op3_license_scans": OP3_SQL, "op4_chat_format": OP4_SQL, "op7_decontamination": OP7_SQL, "op9_quality_rules": OP9_SQL, "op10_jaccard_join": OP10_SQL, "op11_fill_in_middle": OP11_SQL}
