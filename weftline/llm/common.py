@@ -139,6 +139,6 @@ def map_columns(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Ite
     return df.mapInArrow(run, schema)
 
 
-def held_out(modulus: int):
-    """True where crc32 of doc_id as text leaves remainder 0 by the modulus; a null id counts as the text ''."""
-    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus == 0
+def held_out(modulus: int, remainder: int = 0):
+    """True where crc32 of doc_id as text leaves that remainder by the modulus; a null id counts as the text ''."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus == remainder

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, fill_in_middle, jaccard_join, license_scan, maxent_lm, quality_rules, token_counts, toxicity, url_filters
+from . import bpe, chat_format, decontaminate, fill_in_middle, jaccard_join, language_id, license_scan, maxent_lm, quality_rules, token_counts, toxicity, url_filters
 from .common import held_out, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -106,13 +106,19 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("fim")).alias("output_sha256"), digest(fill_in_middle.restored("fim", "form")).alias("restored_sha256"))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), held_out(4, 2)
+    model = language_id.learn(docs, ~out)
+    return language_id.identify(docs.select("doc_id", "text"), model, keep=["doc_id"]).select("doc_id", out.alias("held_out"), "lang_pred", "score", "margin")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_license_scans, op4_chat_format, op5_bpe, op6_token_counts, op7_decontamination, op8_lm_scoring, op9_quality_rules, op10_jaccard_join, op11_fill_in_middle, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_license_scans, op4_chat_format, op5_bpe, op6_token_counts, op7_decontamination, op8_lm_scoring, op9_quality_rules, op10_jaccard_join, op11_fill_in_middle, op12_language_id, pipeline)}
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 _INK = "[^\\x20\\x09-\\x0D]"
