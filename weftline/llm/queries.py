@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, fill_in_middle, jaccard_join, language_id, license_scan, maxent_lm, quality_rules, token_counts, toxicity, url_filters
-from .common import held_out, table
+from . import bpe, chat_format, decontaminate, fill_in_middle, jaccard_join, language_id, license_scan, maxent_lm, quality_rules, token_counts, toxicity, url_filters, vector_codes
+from .common import held_out, table, written
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -112,13 +112,20 @@ def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", "text"), model, keep=["doc_id"]).select("doc_id", out.alias("held_out"), "lang_pred", "score", "margin")
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    books = vector_codes.learn(vectors)
+    out = vector_codes.with_totals(written(vector_codes.encode(vectors, books, keep=["vec_id", "label"]), "codes"))
+    return out.select("vec_id", "code", "error", "label_error", F.lit(books.sha256() if books else None).alias("codebooks_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_license_scans, op4_chat_format, op5_bpe, op6_token_counts, op7_decontamination, op8_lm_scoring, op9_quality_rules, op10_jaccard_join, op11_fill_in_middle, op12_language_id, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_license_scans, op4_chat_format, op5_bpe, op6_token_counts, op7_decontamination, op8_lm_scoring, op9_quality_rules, op10_jaccard_join, op11_fill_in_middle, op12_language_id, op13_vector_codes, pipeline)}
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 _INK = "[^\\x20\\x09-\\x0D]"
@@ -222,4 +229,25 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT)
 FROM part
 """
 
-ORACLE_SQL = {"op2_url_filters": OP2_SQL, "op3_license_scans": OP3_SQL, "op4_chat_format": OP4_SQL, "op7_decontamination": OP7_SQL, "op9_quality_rules": OP9_SQL, "op10_jaccard_join": OP10_SQL, "op11_fill_in_middle": OP11_SQL}
+
+
+def _round(k: int) -> str:
+    """Assignment to the codebooks book{k}, and the next ones."""
+    return f"""
+near{k} AS MATERIALIZED (SELECT vec_id, p, x, m % 256 AS k, m // 256 AS d FROM (SELECT vec_id, p, any_value(x) AS x, min(list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i]))) * 256 + k) AS m
+  FROM part JOIN book{k} USING (p) GROUP BY vec_id, p)),
+mean{k} AS (SELECT p, k, list((s - (s % n + n) % n) // n ORDER BY i) AS c FROM (SELECT p, k, i, CAST(sum(x[i]) AS BIGINT) AS s, count(*) AS n FROM near{k}, unnest(range(1, len(x) + 1)) AS v(i) GROUP BY p, k, i) GROUP BY p, k),
+book{k + 1} AS MATERIALIZED (SELECT p, k, coalesce(mean{k}.c, book{k}.c) AS c FROM book{k} LEFT JOIN mean{k} USING (p, k)),"""
+
+
+OP13_SQL = f"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+part AS MATERIALIZED (SELECT vec_id, p, v[p * (len(v) // 16) + 1 : (p + 1) * (len(v) // 16)] AS x FROM kept, unnest(range(16)) AS u(p)),
+book0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS k, x AS c FROM part WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 64)),
+{_round(0)}{_round(1)}{_round(2)}
+done AS (SELECT vec_id, string_agg(printf('%02x', k), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM near2 GROUP BY vec_id),
+digest AS (SELECT sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY p, k, i)) AS codebooks_sha256 FROM (SELECT p, k, i, c[i] AS y FROM book2, unnest(range(1, len(c) + 1)) AS v(i)))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM done JOIN kept USING (vec_id) CROSS JOIN digest
+"""
+
+ORACLE_SQL = {"op2_url_filters": OP2_SQL, "op3_license_scans": OP3_SQL, "op4_chat_format": OP4_SQL, "op7_decontamination": OP7_SQL, "op9_quality_rules": OP9_SQL, "op10_jaccard_join": OP10_SQL, "op11_fill_in_middle": OP11_SQL, "op13_vector_codes": OP13_SQL}
