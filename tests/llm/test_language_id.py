@@ -2,6 +2,7 @@
 
 import math
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -27,17 +28,22 @@ def plain_grams(text):
     return ["".join(letters[i : i + 3]) for i in range(len(letters) - 2)]
 
 
-def plain_vector(text, known={}):  # noqa: B006
-    out = np.zeros(DIM, np.int64)
-    for gram in plain_grams(text):
-        if gram not in known:
-            bound = np.ones(DIM, np.int64)
-            for k, c in enumerate(gram):
-                bits = np.unpackbits(lid.letter_bits(np.array([0 if c == " " else ord(c)]), DIM, lid.SEED).view(np.uint8))
-                bound *= np.roll(1 - 2 * bits.astype(np.int64), 64 * (2 - k))
-            known[gram] = bound
-        out += known[gram]
-    return out
+def weight(n):
+    return round(16 * math.log2(1 + n))
+
+
+def bound(gram, known={}):  # noqa: B006
+    if gram not in known:
+        known[gram] = np.ones(DIM, np.int64)
+        for k, c in enumerate(gram):
+            bits = np.unpackbits(lid.letter_bits(np.array([0 if c == " " else ord(c)]), DIM, lid.SEED).view(np.uint8))
+            known[gram] = known[gram] * np.roll(1 - 2 * bits.astype(np.int64), 64 * (2 - k))
+    return known[gram]
+
+
+def plain_vector(*texts):
+    counts = Counter(g for t in texts for g in plain_grams(t))
+    return sum((weight(n) * bound(g) for g, n in counts.items()), np.zeros(DIM, np.int64))
 
 
 def cosine(a, b):
@@ -69,8 +75,9 @@ def test_learn_and_identify_like_definition(spark):
     sums = {}
     for key, text, lang, *_ in rows:
         if (key or 0) % 5 < 4 and lang and text is not None:
-            sums[lang] = sums.get(lang, 0) + plain_vector(text)
-    names = sorted(sums)
+            sums.setdefault(lang, []).append(text)
+    sums = {lang: plain_vector(*texts) for lang, texts in sums.items()}
+    names = sorted(lang for lang in sums if sums[lang].any())
     assert list(model.languages) == names
     got = lid.identify(docs, model).collect()
     assert len(got) == len(rows)
@@ -91,6 +98,22 @@ def test_nothing_to_learn_from_and_empty(spark):
     assert lid.identify(docs.where("false"), lid.learn(docs.where("false"), F.lit(True), dim=DIM)).collect() == []
 
 
+def test_counting_hands_on_and_is_exact(spark, monkeypatch):
+    monkeypatch.setattr(lid, "HELD", 40)
+    rows = [(t, lang) for t in TEXTS if t is not None for lang in ("a", "b")] * 3
+    got = {(r["lang"], r["gram"]): r["n"] for r in lid.count_grams(spark.createDataFrame(rows, "text string, lang string").repartition(3)).collect()}
+    want = Counter((lang, sum((0 if c == " " else ord(c)) << 21 * (2 - k) for k, c in enumerate(g))) for t, lang in rows for g in plain_grams(t))
+    assert got == dict(want)
+
+
+def test_copies_of_one_text_do_not_rule_a_profile(spark):
+    own, other = "the quick brown fox jumps over the lazy dog", "der schnelle braune fuchs springt ueber den faulen hund"
+    docs = spark.createDataFrame([(own, "en")] * 50 + [("xyzzy plugh xyzzy", "en")] * 5000 + [(other, "de")] * 50, "text string, lang string")
+    model = lid.learn(docs, F.lit(True))
+    seen = {r["text"]: r["lang_pred"] for r in lid.identify(spark.createDataFrame([("the lazy brown dog",), ("der braune hund",)], "text string"), model).collect()}
+    assert seen == {"the lazy brown dog": "en", "der braune hund": "de"}
+
+
 def test_too_many_languages(spark, monkeypatch):
     monkeypatch.setattr(lid, "MAX_LANGUAGES", 3)
     docs = spark.createDataFrame([(k, "text", f"l{k}") for k in range(5)], "doc_id long, text string, lang string")
