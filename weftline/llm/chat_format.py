@@ -66,6 +66,29 @@ class Template:
             raise ValueError("an open or close mark must hold a control string of texts, the middle mark one of roles")
         if any(x[:k] == x[-k:] for x in (self.middle, self.close) for k in range(1, len(x))):
             raise ValueError("a mark that begins as it ends can't be found again beside a text")
+        role, text = [c for c, _ in self.escapes + self.role_escapes], inside_texts
+        if _can_form(self.close, [self.open, role, self.middle, text]) or _can_form(self.middle, [self.open, role]):
+            raise ValueError("a close mark may not come about before a turn's end, nor a middle mark before its place, whatever role and text are")
+
+
+def _can_form(mark: str, pieces: list) -> bool:
+    """Whether a mark can stand in pieces set side by side: a string is itself, a list any escaped text, which holds none of the list's strings."""
+
+    def rest(at: int, k: int) -> bool:  # mark[:at] stands, the next character is the k-th piece's first
+        if at == len(mark):
+            return True
+        if k == len(pieces):
+            return False
+        if isinstance(pieces[k], str):
+            return pieces[k].startswith(mark[at:]) or (mark.startswith(pieces[k], at) and rest(at + len(pieces[k]), k + 1))
+        return any(rest(end, k + 1) for end in range(at, len(mark) + 1) if not any(c in mark[at:end] for c in pieces[k]))
+
+    def begin(k: int) -> bool:
+        if not isinstance(pieces[k], str):
+            return rest(0, k)
+        return any(s.startswith(mark) or (mark.startswith(s) and rest(len(s), k + 1)) for s in (pieces[k][i:] for i in range(len(pieces[k]))))
+
+    return any(begin(k) for k in range(len(pieces)))
 
 
 def escape(text: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
