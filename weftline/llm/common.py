@@ -88,20 +88,21 @@ def fresh(name: str, columns: list[str]) -> str:
 PIECES = 256
 
 
-def spread_join(big: DataFrame, small: DataFrame, on: list[str], rows: str, total: int, how: str = "inner") -> DataFrame:
+def spread_join(big: DataFrame, small: DataFrame, on: list[str], rows: str, total: int, how: str = "inner", counted: DataFrame | None = None, mark: str | None = None) -> DataFrame:
     """big joined with small, which has a row for each key; a hot key's rows go to several tasks.
 
     rows: small's column that says how many rows of big have the key, dropped afterwards. total: big's rows, or
     more. A key of more than total / PIECES rows is cut into pieces of that size. There are at most PIECES such
     keys, which bounds their broadcast, and small grows by at most 2 * PIECES rows. big's rows must differ, as a
-    hash of the whole row chooses its piece; rows with a null key are spread too."""
+    hash of the whole row, or of its column mark, chooses its piece; rows with a null key are spread too.
+    counted: on and rows of all keys of big, where an outer join's small lacks some."""
     spread, salt = fresh("_spread", [*big.columns, *small.columns]), fresh("_salt", [*big.columns, *small.columns])
     size = max(1, -(-total // PIECES))
     many = F.ceil(F.col(rows) / F.lit(size)).cast("int")
-    hot = small.where(F.col(rows) > size).select(*on, many.alias(spread))
+    hot = (small if counted is None else counted).where(F.col(rows) > size).select(*on, many.alias(spread))
     no_key = reduce(or_, (F.col(c).isNull() for c in on))
     piece = F.when(no_key, PIECES).otherwise(F.coalesce(F.col(spread), F.lit(1)))
-    left = big.join(F.broadcast(hot), on, "left").withColumn(salt, F.pmod(F.xxhash64(*big.columns), piece).cast("int")).drop(spread)
+    left = big.join(F.broadcast(hot), on, "left").withColumn(salt, F.pmod(F.xxhash64(*(big.columns if mark is None else [mark])), piece).cast("int")).drop(spread)
     copies = F.sequence(F.lit(0), F.when(F.col(rows) > size, many).otherwise(1) - 1)
     right = small.withColumn(salt, F.explode(copies)).drop(rows)
     return left.join(right, [*on, salt], how).drop(salt)
