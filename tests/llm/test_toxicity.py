@@ -109,7 +109,16 @@ def test_training_sample(spark):
     labels = spark.createDataFrame([(k, 0) for k in range(40)] + [(k, 1) for k in range(0, 40, 4)] + [(None, 1), (41, None), (50, 1), (51, 0), (99, 1)], "doc_id long, toxic int")
     texts, known, prior = tox.training_sample(docs, labels, F.col("doc_id") != 8)
     want = {(f"text {k}", int(k % 4 == 0)) for k in range(40) if k != 8} | {("again", 0), (None, 0)}
-    assert set(zip(texts, known, strict=True)) == want and abs(prior - 11 / 42) < 1e-9
+    assert set(zip(texts, known, strict=True)) == want and abs(prior - 9 / 40) < 1e-9
     few = tox.training_sample(docs, labels, F.lit(True), per_class=5)
     assert len(few[0]) <= 10 and few[0] == tox.training_sample(docs.repartition(3), labels, F.lit(True), per_class=5)[0]
     assert tox.training_sample(docs, labels.where("false"), F.lit(True)) == ([], [], 0.0)
+
+
+def test_sample_is_full_where_labels_outnumber_documents(spark):
+    """Labels of documents that aren't there, or are too long, take no place in the sample, and count for nothing in the prior."""
+    docs = spark.range(0, 4000, 20).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 40, F.repeat(F.lit("x"), tox.MAX_CHARS + 1)).otherwise(F.concat(F.lit("text "), "id")).alias("text"))
+    labels = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 40 == 0, 1).otherwise(F.when(F.col("id") % 20 == 0, 0).otherwise(1)).cast("int").alias("toxic"))
+    texts, known, prior = tox.training_sample(docs, labels, F.lit(True), per_class=100)
+    assert (len(texts), sum(known)) == (199, 99) and abs(prior - 99 / 199) < 1e-12
+    assert len(tox.training_sample(docs, labels, F.lit(True), per_class=30)[0]) == 60

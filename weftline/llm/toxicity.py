@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, ready
+from .common import dropped, map_columns, ready, written
 from .textkit import ragged, slices, trigrams, words
 
 WINDOW, STRIDE, MINED = 32, 8, 4
@@ -340,14 +340,20 @@ def _adagrad(table: np.ndarray, square: np.ndarray, rows: np.ndarray, grad: np.n
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = PER_CLASS) -> tuple[list[str | None], list[int], float]:
-    """Texts and labels of at most 2 * per_class rows, and the share of toxic ones among all usable labels. usable: a condition on doc_id."""
+    """Texts and labels of at most 2 * per_class rows, and the share of toxic ones among all of docs' own labelled rows.
+
+    usable: a condition on doc_id. Labels are first held to ids of documents that are there and not too long, so the bound
+    is reached wherever docs have so many; a label table of any size for other documents changes nothing."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & usable).groupBy("doc_id").agg(F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic"))
-    counts = dict(known.groupBy("toxic").count().collect())
-    # By the label's own rows first, so that only a bounded number of ids meets the documents.
-    some = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
-    ids = some[0].unionByName(some[1]).select(F.col("doc_id").alias("labelled"), "toxic")
     docs = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= MAX_CHARS)
-    rows = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("labelled")).select("doc_id", "text", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * per_class).collect()
+    own = written(known.join(docs.select("doc_id").distinct(), "doc_id"), "labelled")
+    order = F.struct(F.xxhash64("doc_id").alias("h"), "doc_id")
+    counts = dict(own.groupBy("toxic").count().collect())
+    some = [own.where(F.col("toxic") == k).orderBy(order).limit(per_class) for k in (0, 1)]
+    # Bounded: 2 * per_class ids.
+    ids = some[0].unionByName(some[1]).select(F.col("doc_id").alias("labelled"), "toxic")
+    rows = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("labelled")).select("doc_id", "text", "toxic").orderBy(order, "text").limit(2 * per_class).collect()
+    dropped(docs.sparkSession, own)
     return [r["text"] for r in rows], [r["toxic"] for r in rows], counts.get(1, 0) / max(1, sum(counts.values()))
 
 
