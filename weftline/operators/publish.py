@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.measure import metric_text
+from ..functions.text import unescaped
 
 # Labels of times in a text's lines, and what a time looks like.
 TIME_LABELS = {
@@ -78,8 +79,11 @@ def duration(text: Column) -> Column:
 
 
 def labelled_times(text: Column) -> Column:
-    """struct of minutes that lines of a text name by a label, the value beside it or in one of the next three lines; the first that reads as a time."""
-    lines = F.transform(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]+>", " "), "\\r?\\n"), lambda x: F.regexp_replace(x, r"^[\s#*_]+|[\s#*_]+$", ""))
+    """struct of minutes that lines of a text name by a label, the value beside it or in one of the next three lines; the first that reads as a time.
+
+    Tags go and character references are read first, so a reference may end a line; a no-break space is a blank."""
+    plain = F.regexp_replace(unescaped(F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]+>", " ")), "\u00a0", " ")
+    lines = F.transform(F.split(plain, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), lambda x: F.regexp_replace(x, r"^[\s#*_]+|[\s#*_]+$", ""))
 
     def field(label: str) -> Column:
         def value(rows: Column) -> Column:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from .functions import identity, ingredients, measure
 from .functions import text as tx
 from .operators import collection, evidence, meals, publish, search, tables
+from .operators.storage import shared
 from .queries import ORACLE_SQL, QUERIES, query, table
 from .sources import documents, prose, sitemap, web
 from .streaming import ingest
@@ -254,7 +253,7 @@ def fingerprint_groups(spark, d):
 @query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN value ELSE value + 1 END AS value FROM events")
 def incremental_upsert(spark, d):
     """Two deliveries of events through a stream that ends when all is read; what came first stays, a replay changes nothing."""
-    folder = scratch(spark, "upsert")
+    folder = shared(spark, "upsert")
     events, schema = table(spark, d, "events").select("event_id", "value"), "event_id bigint, value double"
     for mode, rows in (("a", events.where("event_id % 2 = 0")), ("b", events.withColumn("value", F.col("value") + 1)), ("b", None)):
         if rows is not None:
@@ -270,13 +269,9 @@ def union_sorted(spark, d):
     return out.select("l_orderkey", "l_partkey", "l_linenumber")
 
 
-def scratch(spark, what: str) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/weftline/{what}-{uuid.uuid4().hex}"
-
-
 @query("SELECT 'https://s.example/p/thing-' || page_id % 7 || '/id_' || page_id AS source_url, 'thing-' || page_id % 7 AS slug, CAST(page_id AS VARCHAR) AS product_id FROM pages WHERE page_id % 4 > 0")
 def sitemap_urls(spark, d):
-    folder, k = scratch(spark, "sitemap"), F.col("page_id").cast("string")
+    folder, k = shared(spark, "sitemap"), F.col("page_id").cast("string")
     loc = F.concat(F.lit("https://s.example/p/thing-"), (F.col("page_id") % 7).cast("string"), F.when(F.col("page_id") % 4 > 0, F.concat(F.lit("/id_"), k)).otherwise(F.lit("/")))
     urls = table(spark, d, "pages").select((F.col("page_id") % 8).alias("file"), F.concat(F.lit("<url><loc> "), loc, F.lit(" </loc><lastmod>2024-01-01</lastmod></url>")).alias("x"))
     whole = urls.groupBy("file").agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list("x"), "\n"), F.lit("</urlset>")).alias("value"))
