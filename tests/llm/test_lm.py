@@ -140,6 +140,20 @@ def test_head_is_bounded_by_counts(spark, monkeypatch):
     top = lm.head_words(counts)
     assert top["n"].to_pylist() == [900, *[7] * 14, *[6] * 14]
     assert (lm.head_words(counts.where("false")).num_rows, lm.head_words(counts.where("n = 1")).num_rows) == (0, 15)
+    assert lm.long_words(counts)["n"].to_pylist() == [500] and lm.long_words(counts.where("n < 100")).num_rows == 0
+
+
+def test_long_words_of_every_document_are_no_hot_key(spark, monkeypatch):
+    """A long separator in all documents doesn't reach the lookup of rare words' counts; results are the same if it did."""
+    line = "=" * 80
+    docs = spark.createDataFrame([(k, f"{line} word{k % 7} rare{k} {line} {'-' * 70 if k % 2 else ''}") for k in range(200)], "doc_id long, text string").repartition(4)
+    usable = F.col("doc_id") % 10 != 0
+    counts, model = lm.fit_lm(docs, usable)
+    assert sorted(model.long[1].tolist()) == [100, 360]
+    got = {r["doc_id"]: tuple(r) for r in lm.score_with(counts, model, docs, usable).collect()}
+    model.long = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    plain = {r["doc_id"]: tuple(r) for r in lm.score_with(counts, model, docs, usable).collect()}
+    assert set(got) == set(plain) and all(np.allclose(got[k], plain[k]) for k in got)
 
 
 def test_tokens_of_slices():

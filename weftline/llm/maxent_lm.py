@@ -48,6 +48,8 @@ CLASSES, SINGLES, CLUSTERED = 32, 8, 1 << 13
 OWN, TAIL = 12, 4
 BUCKETS = OWN + TAIL
 HEAD, WORD_BYTES = 1 << 17, 64
+#: Longer words whose counts stand in every task.
+LONG = 1 << 14
 MIN_BITS, MAX_BITS, TRIGRAM_BITS = 8, 16, 10
 ROUNDS, BATCH, RATE = 2, 8192, 0.3
 MERGED, FAN, BLOCK = 4, 64, 2048
@@ -337,17 +339,27 @@ def count_words(docs: DataFrame, training: Column, text_col: str) -> DataFrame:
     return docs.where(training).select(text_col).mapInArrow(run, "h bigint, word binary, n bigint").groupBy("h", "word").agg(F.sum("n").alias("n"))
 
 
-def head_words(counts: DataFrame) -> pa.Table:
-    """The most frequent words, HEAD at most, by falling counts. A histogram of the counts gives the least count, so that no more are sent."""
+def _top(some: DataFrame, most: int, columns: list[str]) -> pa.Table:
+    """The most frequent words, `most` at most, by falling counts. A histogram of the counts gives the least count, so that no more are sent."""
     level = F.when(F.col("n") < 64, F.col("n")).otherwise(16 + F.floor(F.log2("n") * 8)).cast("int")
-    some = counts.where(F.length("word") <= WORD_BYTES).withColumn("level", level)
+    some = some.withColumn("level", level)
     least, total = 1 << 30, 0
     for at, n in sorted(some.groupBy("level").count().collect(), reverse=True):  # some hundred rows
         total += n
-        if total > HEAD:
+        if total > most:
             break
         least = at
-    return some.where(F.col("level") >= least).select("h", "word", "n").toArrow().sort_by([("n", "descending"), ("h", "ascending")])
+    return some.where(F.col("level") >= least).select(*columns).toArrow().sort_by([("n", "descending"), ("h", "ascending")])
+
+
+def head_words(counts: DataFrame) -> pa.Table:
+    return _top(counts.where(F.length("word") <= WORD_BYTES), HEAD, ["h", "word", "n"])
+
+
+def long_words(counts: DataFrame) -> pa.Table:
+    """Hashes and counts of the most frequent words that are too long for the head: a separator line that stands in every document must not
+    become a hot key when counts are looked up. Their classes come from their characters, as those of all words outside the head."""
+    return _top(counts.where(F.length("word") > WORD_BYTES), LONG, ["h", "n"])
 
 
 def bucket_totals(counts: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
@@ -446,6 +458,7 @@ class Model:
     below: np.ndarray
     n_tokens: int
     n_types: int
+    long: tuple[np.ndarray, np.ndarray]
 
 
 def fit_lm(docs: DataFrame, training: Column, text_col: str = "text") -> tuple[DataFrame, Model]:
@@ -463,7 +476,8 @@ def fit_lm(docs: DataFrame, training: Column, text_col: str = "text") -> tuple[D
     weights = train(docs, training, shared, weights, text_col)
     shared.unpersist()
     below = np.log10(n + 0.1 * (v + 1))
-    return counts, Model(classes, weights, below, n_tokens, n_types)
+    long = long_words(counts)
+    return counts, Model(classes, weights, below, n_tokens, n_types, (long["h"].to_numpy().view(np.uint64), long["n"].to_numpy()))
 
 
 def own_words(cls: np.ndarray, bucket: np.ndarray) -> np.ndarray:
@@ -490,6 +504,8 @@ def score_with(counts: DataFrame, model: Model, docs: DataFrame, training: Colum
         c, w = m.classes, m.weights
         table, row = c.table(), TaskContext.get().partitionId() << 36
         head_log = np.log10(c.counts + 0.1)
+        long, long_log = HashTable(max(16, len(m.long[0]))), np.log10(m.long[1] + 0.1)
+        long.put(m.long[0], np.arange(len(m.long[0]), dtype=np.int32))
         for batch in batches:
             ids, held = batch.column(0), batch.column(2)
             for i, j, data, offsets in slices(batch.column(1)):
@@ -500,6 +516,10 @@ def score_with(counts: DataFrame, model: Model, docs: DataFrame, training: Colum
                 logs[known] = head_log[at[known]]
                 # A word that is all of its bucket has P(word | bucket) = 1: its count cancels out.
                 below = np.where(own_words(cls, bucket), np.where(known, logs, np.log10(0.1)), m.below[cls, bucket])
+                # Counts of frequent long words are at hand too; they are in no bucket of their own.
+                place = long.get(t.h) if len(long_log) else np.full(len(at), -1)
+                logs[place >= 0] = long_log[place[place >= 0]]
+                known |= place >= 0
                 chance = token_logs(w, cls, bucket, *t.features(cls, w.bits)) / np.log(10) - below
                 doc = np.repeat(np.arange(j - i), np.diff(t.first))
                 tail = np.flatnonzero(~known)
