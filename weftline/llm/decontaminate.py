@@ -9,9 +9,11 @@ suffix positions, and the word spans that they cover are merged into removal spa
 A phrase is a window of ``window`` consecutive words of an item; an item of fewer words, but not none, is
 one phrase. Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after lower-casing A-Z.
 
-The benchmark is read in blocks of at most 2 * BLOCK_WORDS words; each block is broadcast and searched for in
-a pass of its own over the documents, so what is broadcast at once is bounded whatever the benchmark is. An item of
-more than BLOCK_WORDS words comes in pieces that overlap by a window less a word.
+The benchmark is read in blocks of at most 2 * BLOCK_WORDS words. One block is broadcast and searched for in a pass over the
+documents. If there are more, documents are numbered and written once, and every block has a job of its own: its spans and
+items are written, only for documents that have some, and its broadcast is destroyed before the next block's is made; a last
+pass joins what was found by number and merges it. So the driver and a task hold one block at a time, whatever the
+benchmark is. An item of more than BLOCK_WORDS words comes in pieces that overlap by a window less a word.
 
 Cases: null texts have no words; null or repeated item ids are items like others (a null id isn't
 listed); an item's repeated window counts once; repeated documents are judged alike; other columns pass
@@ -21,12 +23,14 @@ through, one with an output's name is replaced; an empty benchmark leaves all do
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import map_columns, ready
+from .common import fresh, map_columns, ready, written
 from .fm_index import FmIndex
 from .textkit import HashTable, ragged, slices, words
 
@@ -132,9 +136,8 @@ def _runs(hit: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(hit & (edge[:-1] | ~np.append(False, hit[:-1]))), np.flatnonzero(hit & (edge[1:] | ~np.append(hit[1:], False))) + 1
 
 
-def _pass(df: DataFrame, phrases: Phrases, ids: list[str | None], text_col: str, more: bool, keep: list[str] | None, cut: bool) -> DataFrame:
-    """One block's spans and items, joined to those of earlier blocks if there were any. cut: text_col comes without the spans."""
-    shared = ready(df.sparkSession).sparkContext.broadcast((phrases, ids))
+def _pass(df: DataFrame, shared, text_col: str, more: bool, keep: list[str] | None, cut: bool) -> DataFrame:
+    """A block's spans and items (shared: its broadcast phrases and ids), merged with those in df's own columns if there are more. cut: text_col comes without the spans."""
 
     def make():
         phrases, ids = shared.value
@@ -195,23 +198,40 @@ def _pieces(text: str, window: int):
         yield text, len(at)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_text_col: str = "text", item_id_col: str = "item_id", keep: list[str] | None = None, cut: bool = False) -> DataFrame:
-    """docs with n_words, removal_spans (merged, in order, in words and bytes of the text) and item_ids
-    (as strings, sorted) of the benchmark items whose phrases occur. cut: text_col comes with the spans cut out."""
-    out, more, texts, ids, size = docs, False, [], [], 0
-
-    def flush(last: bool):
-        nonlocal out, more, texts, ids, size
-        out = _pass(out, Phrases(texts, window), ids, text_col, more, keep if last or keep is None else [*dict.fromkeys([*keep, text_col])], cut and last)
-        more, texts, ids, size = True, [], [], 0
-
+def _blocks(benchmark: DataFrame, item_text_col: str, item_id_col: str, window: int):
+    """(ids, texts) of each block; one at least."""
+    texts, ids, size = [], [], 0
     for row in benchmark.select(benchmark[item_id_col].cast("string"), benchmark[item_text_col]).toLocalIterator():
         for piece, n in _pieces(row[1] or "", window):
             if size >= BLOCK_WORDS:
-                flush(False)
+                yield ids, texts
+                texts, ids, size = [], [], 0
             ids.append(row[0])
             texts.append(piece)
             size += n
-    flush(True)
-    return out
+    yield ids, texts
 
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_text_col: str = "text", item_id_col: str = "item_id", keep: list[str] | None = None, cut: bool = False) -> DataFrame:
+    """docs with n_words, removal_spans (merged, in order, in words and bytes of the text) and item_ids
+    (as strings, sorted) of the benchmark items whose phrases occur. cut: text_col comes with the spans cut out."""
+    spark = ready(docs.sparkSession)
+    blocks = _blocks(benchmark, item_text_col, item_id_col, window)
+    block, after = next(blocks), next(blocks, None)
+
+    def shared(block):
+        return spark.sparkContext.broadcast((Phrases(block[1], window), block[0]))
+
+    if after is None:
+        return _pass(docs, shared(block), text_col, False, keep, cut)
+    row = fresh("_row", [*docs.columns, *ADDED])
+    rows = written(docs.drop(*(c for c in ADDED if c != text_col)).withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = []
+    while block is not None:
+        sent = shared(block)
+        found.append(written(_pass(rows.select(row, text_col), sent, text_col, False, [row], False).drop("n_words").where(F.size("removal_spans") > 0), "spans"))
+        sent.destroy()
+        block, after = after, next(blocks, None)
+    each = reduce(DataFrame.unionByName, found).groupBy(row).agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("removal_spans", "item_ids")))
+    joined = rows.join(each, row, "left").withColumns({c: F.coalesce(c, F.array().cast(ADDED[c])) for c in ("removal_spans", "item_ids")})
+    return _pass(joined, shared(([], [])), text_col, True, docs.columns if keep is None else keep, cut)
