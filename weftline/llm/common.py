@@ -33,8 +33,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: the one that the cluster names, else the warehouse."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """The folder that the driver and all executors share: the one that the cluster names, else the warehouse.
+
+    A warehouse on one machine's disk serves a local master only; on a cluster it is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    root = named or spark.conf.get("spark.sql.warehouse.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).getScheme() == "file":
+            raise ValueError("set spark.checkpoint.dir: the warehouse is a folder of the driver's machine")
+    return root
 
 
 #: Folders that written() made and nothing has deleted yet, oldest first.

@@ -2,7 +2,9 @@
 
 The measures are per-row expressions; nothing is shuffled but sums. Each rule's rejections and its cost are
 estimated in one pass over a sample of about SAMPLE_ROWS rows (each row is drawn with the same chance, from a
-count): around every rule's condition the clock is read in the row itself. Rules are put in order greedily by
+count), of SAMPLE_FILES evenly spaced files where the rows come straight from more files than that, so that no
+second read of the whole is needed: around every rule's condition the clock is read in the row itself, after the
+measures that the caller makes anyway. Rules are put in order greedily by
 rejections among the rows that earlier rules leave, per cost. A CASE in this order decides each row, so a dear
 rule runs only for rows that cheaper ones kept; measures that only such a rule needs (LAZY) are made nowhere
 else. The order changes the speed, never a verdict.
@@ -20,12 +22,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh
 
-SAMPLE_ROWS = 512
+SAMPLE_ROWS, SAMPLE_FILES = 512, 16
 PACKED = 1 << 15
 _INK = r"[^\x20\x09-\x0D]"
 _BLANK = " \t\n\x0b\x0c\r"
@@ -140,21 +143,43 @@ def _measures(text: Column, words: Column, ready: tuple[str, ...] = ()) -> Calla
     return lambda name: F.col(name) if name in ready else (MEASURES | LAZY)[name](text, words)
 
 
-def rule_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Rules in the order of rejections per nanosecond on a sample, each judged on what those before it leave."""
+def some_files(docs: DataFrame, n: int = SAMPLE_FILES) -> DataFrame:
+    """docs' rows of at most n of the files that they come from, evenly spaced; all rows where docs aren't plain columns of files. Spark
+    leaves out the other files when it plans the scan."""
+    files = sorted(docs.inputFiles())
+    if len(files) <= n:
+        return docs
+    plain = lambda path: F.regexp_replace(path, "^file:/+", "file:/")  # noqa: E731  a local path comes in two forms
+    chosen = [F.lit(files[k * len(files) // n]) for k in range(n)]
+    try:
+        return docs.where(plain(F.col("_metadata.file_path")).isin([plain(f) for f in chosen]))
+    except AnalysisException:
+        return docs
+
+
+def rule_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", sample_rows: int = SAMPLE_ROWS, ready: tuple[str, ...] = ()) -> list[Rule]:
+    """Rules in the order of rejections per nanosecond on a sample, each judged on what those before it leave.
+
+    ready: measures that are made for every row before the cascade, whose cost no rule is charged."""
     text = F.col(text_col)
 
     def clock() -> Column:
         return F.call_function("reflect", F.lit("java.lang.System"), F.lit("nanoTime")).cast("bigint")
 
     def timed(words: Column) -> Column:
-        measure, parts = _measures(text, words), [clock().alias("idle"), clock().alias("t0")]
-        for k, rule in enumerate(rules):
-            parts += [F.coalesce(rule.reject(measure), F.lit(False)).alias(f"r{k}"), clock().alias(f"t{k + 1}")]
-        return F.struct(*parts)
-
-    share = min(1.0, sample_rows / max(1, docs.count()))
-    sample = docs.where(F.rand(11) < share).select(let(hashed_words(text), timed).alias("x"))
+        def after(made: Column) -> Column:
+            other = _measures(text, words)
+            measure = lambda name: made[name] if name in ready else other(name)
+            parts = [clock().alias("idle"), clock().alias("t0")]
+            for k, rule in enumerate(rules):
+                parts += [F.coalesce(rule.reject(measure), F.lit(False)).alias(f"r{k}"), clock().alias(f"t{k + 1}")]
+            return F.struct(*parts)
+
+        return let(F.struct(*(MEASURES[name](text, words).alias(name) for name in ready)), after) if ready else after(words)
+
+    rows = some_files(docs)
+    share = min(1.0, sample_rows / max(1, rows.count()))
+    sample = rows.where(F.rand(11) < share).select(let(hashed_words(text), timed).alias("x"))
     idle = F.sum(F.col("x.t0") - F.col("x.idle")).alias("idle")
     spent = [F.sum(F.col(f"x.t{k + 1}") - F.col(f"x.t{k}")).alias(f"c{k}") for k in range(len(rules))]
     outcomes = sample.groupBy(*(F.col(f"x.r{k}").alias(f"r{k}") for k in range(len(rules)))).agg(F.count("*").alias("n"), idle, *spent).collect()  # at most 2^rules rows
@@ -179,7 +204,7 @@ def verdict(order: list[Rule], measure: Callable[[str], Column]) -> Column:
 
 def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", order: list[Rule] | None = None) -> DataFrame:
     """docs with all measures, base_failed (a base rule rejects) and kept."""
-    order = rule_order(docs, rules, text_col) if order is None else order
+    order = rule_order(docs, rules, text_col, ready=tuple(MEASURES)) if order is None else order
     added = [*MEASURES, "base_failed", "kept"]
     kept = [c for c in docs.columns if c.lower() not in added]
     words, text = fresh("_words", docs.columns), fresh("_text", docs.columns)
