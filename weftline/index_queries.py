@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import checksums, numbering, postings, search
+from .operators import checksums, json_schema, numbering, postings, search
 from .operators.storage import shared
 from .queries import table
 from .record_queries import ORACLE_SQL, QUERIES, query  # noqa: F401
+from .streaming import attempts
 
 LATE_PAGE = 417
 
@@ -58,3 +59,66 @@ def indexed_search(spark, d):
     for more in found[1:]:
         out = out.unionByName(more)
     return out
+
+
+EVENT_SCHEMA = {
+    "$schema": "https://json-schema.org/draft/2020-12/schema",
+    "type": "object",
+    "required": ["id", "type", "user", "value", "props"],
+    "properties": {
+        "type": {"type": "string", "enum": ["click", "view", "signup", "purchase"]},
+        "value": {"type": "number", "minimum": 0, "maximum": 60},
+        "user": {"type": "integer", "not": {"multipleOf": 7}},
+        "props": {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer", "exclusiveMinimum": 20}}, "additionalProperties": False},
+        "tags": {"type": "array", "uniqueItems": True, "maxItems": 2, "items": {"type": "string", "pattern": "^t[01]"}},
+    },
+    "if": {"properties": {"type": {"const": "purchase"}}},
+    "then": {"properties": {"value": {"minimum": 10}}},
+}
+
+
+@query("""WITH e AS (SELECT event_id, event_type, value, user_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events)
+SELECT event_id, '$.type' AS path, 'enum' AS keyword FROM e WHERE event_type = 'error' UNION ALL SELECT event_id, '$.value', 'maximum' FROM e WHERE value > 60
+UNION ALL SELECT event_id, '$.value', 'minimum' FROM e WHERE event_type = 'purchase' AND value < 10 UNION ALL SELECT event_id, '$.user', 'not' FROM e WHERE user_id % 7 = 0
+UNION ALL SELECT event_id, '$.props.k', 'exclusiveMinimum' FROM e WHERE k <= 20 UNION ALL SELECT event_id, '$.tags', 'uniqueItems' FROM e WHERE event_id % 3 = user_id % 3
+UNION ALL SELECT event_id, '$.tags[0]', 'pattern' FROM e WHERE event_id % 3 = 2 UNION ALL SELECT event_id, '$.tags[1]', 'pattern' FROM e WHERE user_id % 3 = 2
+UNION ALL SELECT event_id, '$.props', 'required' FROM e WHERE event_id % 1000 = 5 UNION ALL SELECT event_id, '$', 'json' FROM e WHERE event_id % 1000 = 7""".replace("FROM e WHERE", "FROM e WHERE event_id % 1000 <> 7 AND").replace("event_id % 1000 <> 7 AND event_id % 1000 = 7", "event_id % 1000 = 7").replace("event_id % 1000 <> 7 AND k <= 20", "event_id % 1000 NOT IN (5, 7) AND k <= 20"))
+def schema_faults(spark, d):
+    """Events as JSON texts, some without props and some cut off, against a schema with nested rules."""
+    c = {k: F.col(k).cast("string") for k in ("event_id", "event_type", "user_id", "value", "props")}
+    props = F.when(F.col("event_id") % 1000 == 5, "").otherwise(F.concat(F.lit(',"props":'), c["props"]))
+    tag = lambda n: F.concat(F.lit('"t'), (F.col(n) % 3).cast("string"), F.lit('"'))
+    text = F.concat(F.lit('{"id":'), c["event_id"], F.lit(',"type":"'), c["event_type"], F.lit('","user":'), c["user_id"], F.lit(',"value":'), c["value"], props, F.lit(',"tags":['), tag("event_id"), F.lit(","), tag("user_id"), F.lit("]"))
+    text = F.when(F.col("event_id") % 1000 == 7, text).otherwise(F.concat(text, F.lit("}")))
+    return json_schema.json_faults(table(spark, d, "events"), ["event_id"], text, EVENT_SCHEMA)
+
+
+@query("""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id AS attempt, value > 95 AS done, event_type <> 'view' AS retry, CAST(props->>'$.k' AS INTEGER) AS k FROM events),
+valid AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY attempt) = 1 OR retry AS ok FROM e),
+ended AS (SELECT *, min(attempt) FILTER (ok AND done) OVER (PARTITION BY key) AS done_at FROM valid),
+taken AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY attempt) AS n, count(*) OVER (PARTITION BY key) AS total FROM ended WHERE ok AND (done_at IS NULL OR attempt <= done_at)),
+member AS (SELECT key, n, total, 'index' AS member, k % 3 > 0 AS bad FROM taken UNION ALL SELECT key, n, total, 'card-' || CAST(k % 2 AS VARCHAR), k % 5 > 0 FROM taken),
+told AS (SELECT key, member, total, max(n) FILTER (n = total) AS here, bool_or(bad AND n = total) AS bad, list(n ORDER BY n) FILTER (bad) AS bads FROM member GROUP BY key, member, total)
+SELECT key, NULL AS member, CASE WHEN max(done_at) IS NULL THEN 'failed' ELSE 'done' END AS status, CASE WHEN max(done_at) IS NULL THEN count(*) - 1 END::INTEGER AS retry_count,
+  CASE WHEN max(done_at) IS NOT NULL AND count(*) = 1 THEN 0 ELSE count(*) END AS n_history FROM taken GROUP BY key
+UNION ALL SELECT key, member, CASE WHEN bad THEN 'unsupported' ELSE 'done' END,
+  CASE WHEN bad THEN (SELECT max(i) FROM range(1, total + 1) AS r(i) WHERE list_contains(bads, total - i + 1) AND len(list_filter(bads, lambda x: x > total - i)) = i) - 1 END::INTEGER, NULL FROM told WHERE here IS NOT NULL""")
+def retry_counts(spark, d):
+    """Events replayed as attempts at items, in three deliveries, two members each: what the keyed state holds in the end."""
+    e, k = table(spark, d, "events"), F.get_json_object("props", "$.k").cast("int")
+    rows = e.select(
+        F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("attempt"),
+        F.explode(F.array(
+            F.struct(F.lit(None).cast("string").alias("member"), F.when(F.col("value") > 95, "done").otherwise("no layout").alias("outcome")),
+            F.struct(F.lit("index").alias("member"), F.when(k % 3 > 0, "unsupported").otherwise("done").alias("outcome")),
+            F.struct(F.concat(F.lit("card-"), (k % 2).cast("string")).alias("member"), F.when(k % 5 > 0, "unsupported").otherwise("done").alias("outcome")),
+        )).alias("m"), (F.col("event_type") != "view").alias("retry"),
+    ).select("key", "attempt", "m.member", "m.outcome", "retry")
+    folder, last = shared(spark, "attempts"), e.agg(F.max("event_id")).first()[0] or 0
+    for low in range(3):
+        rows.where((F.col("attempt") * 3 >= low * (last + 1)) & (F.col("attempt") * 3 < (low + 1) * (last + 1))).write.mode("append").parquet(f"{folder}/in")
+        attempts.follow(spark, f"{folder}/in", f"{folder}/mark", f"{folder}/changes")
+    items, members, history = attempts.state(spark, f"{folder}/mark")
+    items = items.join(history.groupBy("key").agg(F.count("*").alias("n_history")), "key", "left")
+    items = items.select("key", F.lit(None).cast("string").alias("member"), "status", "retry_count", F.coalesce("n_history", F.lit(0)).alias("n_history"))
+    return items.unionByName(members.select("key", "member", F.col("outcome").alias("status"), "retry_count", F.lit(None).cast("bigint").alias("n_history")))
