@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import checksums, json_schema, numbering, postings, search
-from .operators.storage import shared
+from .operators import checksums, json_schema, numbering, postings, search, snapshots
+from .operators.storage import hadoop, shared
 from .queries import table
 from .record_queries import ORACLE_SQL, QUERIES, query  # noqa: F401
 from .streaming import attempts
@@ -122,3 +122,27 @@ def retry_counts(spark, d):
     items = items.join(history.groupBy("key").agg(F.count("*").alias("n_history")), "key", "left")
     items = items.select("key", F.lit(None).cast("string").alias("member"), "status", "retry_count", F.coalesce("n_history", F.lit(0)).alias("n_history"))
     return items.unionByName(members.select("key", "member", F.col("outcome").alias("status"), "retry_count", F.lit(None).cast("bigint").alias("n_history")))
+
+
+@query("""WITH c AS (SELECT CAST(c_custkey % 16 AS INTEGER) AS bucket, c_custkey, c_custkey % 97 = 0 AND c_custkey % 16 <> 4 AS moved FROM customer), b AS (SELECT bucket, count(*) AS rows, bool_or(moved) AS moved FROM c GROUP BY bucket)
+SELECT 'first' AS snapshot, bucket, rows, NOT moved AS shared, CASE WHEN bucket = 4 THEN 'altered' WHEN bucket = 9 AND NOT moved THEN 'missing' END AS fault FROM b
+UNION ALL SELECT 'second', bucket, rows, NOT moved, CASE WHEN bucket = 4 THEN 'altered' WHEN bucket = 9 THEN 'missing' END FROM b""")
+def snapshot_faults(spark, d):
+    """Two snapshots of customers, of which one file was written over and another one deleted: what they share, and what the audit finds."""
+    store, rows = shared(spark, "snapshots"), table(spark, d, "customer")
+    moved = rows.withColumn("c_acctbal", F.when((F.col("c_custkey") % 97 == 0) & (F.col("c_custkey") % 16 != 4), F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal")))
+    first, second = (snapshots.commit(x, store, ["c_custkey"], buckets=16, bucket=F.col("c_custkey") % 16) for x in (rows, moved))
+    files = {r["bucket"]: r["files"][0] for r in snapshots.manifest(spark, store, second).where("kind = 'object'").collect()}
+    for bucket, change in ((4, True), (9, False)):
+        if bucket in files:
+            at, fs = hadoop(spark, f"{store}/{files[bucket]['path']}")
+            fs.delete(at, False)
+            if change:
+                out = fs.create(at, True)
+                out.write(bytearray(b"x" * files[bucket]["size"]))
+                out.close()
+    parts = []
+    for label, name, other in (("first", first, second), ("second", second, first)):
+        found = snapshots.faults(spark, store, name).groupBy("bucket").agg(F.min("fault").alias("fault"))
+        parts.append(snapshots.shared(spark, store, name, other).join(found, "bucket", "left").select(F.lit(label).alias("snapshot"), "bucket", "rows", "shared", "fault"))
+    return parts[0].unionByName(parts[1])
