@@ -50,13 +50,13 @@ def glob_regex(pattern: str) -> str:
         elif c == "?":
             out += "."
         elif close > 0:
-            body = pattern[i + 1 : close].replace("\\", "\\\\")
-            out += "[" + ("^" + body[1:] if body[0] == "!" else body) + "]"
+            body, no = pattern[i + 1 : close], pattern[i + 1] == "!"
+            out += ("[^" if no else "[") + re.sub(r"[\\\[\]^&]", r"\\\g<0>", body[no:]) + "]"
             i = close
         else:
             out += re.escape(c)
         i += 1
-    return f"(?s)^{out}$"
+    return rf"(?s)^{out}\z"
 
 
 def path_selected(path: Column, include: list[str], exclude: list[str] = ()) -> Column:

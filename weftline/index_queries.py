@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import checksums, json_schema, numbering, postings, search, snapshots
+from .operators import checksums, json_schema, numbering, patterns, postings, reports, search, snapshots
 from .operators.storage import hadoop, shared
 from .queries import table
 from .record_queries import ORACLE_SQL, QUERIES, query  # noqa: F401
@@ -146,3 +146,53 @@ def snapshot_faults(spark, d):
         found = snapshots.faults(spark, store, name).groupBy("bucket").agg(F.min("fault").alias("fault"))
         parts.append(snapshots.shared(spark, store, name, other).join(found, "bucket", "left").select(F.lit(label).alias("snapshot"), "bucket", "rows", "shared", "fault"))
     return parts[0].unionByName(parts[1])
+
+
+@query(r"""WITH p AS (SELECT p_brand AS source, CAST(substr(p_brand, 7) AS INTEGER) AS n, p_type || '/' || replace(p_name, ' ', '/') || ['.md', '.json', '.txt'][CAST(p_partkey % 3 AS INTEGER) + 1] AS path FROM part)
+SELECT DISTINCT source, path FROM p WHERE CASE WHEN n % 2 = 1 THEN starts_with(path, 'ECONOMY/') OR regexp_matches(path, '^PROMO/r.d/') ELSE ends_with(path, '.md') OR regexp_matches(path, '/[a-m].*\.json$') END
+AND NOT contains(path, '/small/') AND NOT (n % 5 = 0 AND ends_with(path, '.txt'))""")
+def selected_paths(spark, d):
+    """Paths by their sources' include and exclude patterns, both made from parts."""
+    parts, n = table(spark, d, "part"), F.substring("p_brand", 7, 9).cast("int")
+    path = F.concat("p_type", F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("/")), F.when(F.col("p_partkey") % 3 == 0, ".md").when(F.col("p_partkey") % 3 == 1, ".json").otherwise(".txt"))
+    rule = lambda kind, pattern, ok=None: F.when(F.lit(True) if ok is None else ok, F.struct(F.lit(kind).alias("kind"), F.lit(pattern).alias("pattern")))
+    rules = F.array(
+        rule("include", "ECONOMY/*", n % 2 == 1), rule("include", "PROMO/r?d/*", n % 2 == 1), rule("include", "*.md", n % 2 == 0), rule("include", "*/[a-m]*.json", n % 2 == 0),
+        rule("exclude", "*/small/*"), rule("exclude", "*.txt", n % 5 == 0),
+    )
+    table_of = parts.select(F.col("p_brand").alias("source"), F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("r")).select("source", "r.kind", "r.pattern")
+    return patterns.selected(parts.select(F.col("p_brand").alias("source"), path.alias("path")), table_of)
+
+
+@query("""WITH o AS (SELECT o_orderpriority AS source, o_orderstatus AS status, CAST(year(o_orderdate) AS VARCHAR) AS year, o_custkey FROM orders)
+SELECT source, grouping(source) = 1 AS is_total, CASE WHEN grouping(status) = 0 THEN 'status' WHEN grouping(year) = 0 THEN 'year' END AS dimension, CASE WHEN grouping(status) = 0 THEN status WHEN grouping(year) = 0 THEN year END AS value,
+  count(*) AS n, max(o_custkey) AS last_customer FROM o GROUP BY GROUPING SETS ((source, status), (source, year), (status), (year), (source), ())""")
+def source_histograms(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_orderpriority").alias("source"), F.col("o_orderstatus").alias("status"), F.year("o_orderdate").cast("string").alias("year"), "o_custkey")
+    return reports.histograms(rows, "source", ["status", "year"], {"last_customer": F.max("o_custkey")})
+
+
+@query("""SELECT o_orderstatus AS status, count(*) AS n, count(*) FILTER (o_orderkey % 3 = 1 AND o_orderkey % 10 = 1) AS without_customer, sum(o_orderkey)::BIGINT AS keys, max(CASE WHEN o_orderkey % 3 = 1 AND o_orderkey % 10 = 1 THEN NULL ELSE o_custkey END) AS last_customer
+FROM orders WHERE NOT (o_orderkey % 3 = 1 AND o_orderkey % 10 = 2) GROUP BY o_orderstatus""")
+def kept_audit(spark, d):
+    """Orders in two deliveries, then one delivery's files replaced by others, some customers and orders fewer: the audit as it was kept up to date."""
+    rows, folder = table(spark, d, "orders"), shared(spark, "audit")
+    audit = reports.Audit(spark, f"{folder}/in", f"{folder}/state", {"status": F.col("o_orderstatus")}, {"without_customer": F.col("o_custkey").isNull().cast("int"), "keys": F.col("o_orderkey")}, highs={"last_customer": F.col("o_custkey")})
+
+    def deliver(part: int, some) -> None:
+        some.where(F.col("o_orderkey") % 3 == part).write.mode("overwrite").parquet(f"{folder}/in/{part}")
+
+    deliver(0, rows), deliver(1, rows)
+    audit.update(1)
+    deliver(2, rows)
+    audit.update(2)
+    deliver(1, rows.where("o_orderkey % 10 <> 2").withColumn("o_custkey", F.when(F.col("o_orderkey") % 10 != 1, F.col("o_custkey"))))
+    audit.update(3)
+    return audit.result()
+
+
+@query("""SELECT l_returnflag, count(*) AS n, array_to_string(list_sort(list(DISTINCT l_suppkey))[1:3], ',') AS evidence, array_to_string(list_sort(list(DISTINCT l_partkey))[1:30], ',') AS examples FROM lineitem GROUP BY l_returnflag""")
+def first_examples(spark, d):
+    """A few hot groups, the first 3 suppliers and 30 parts of each: no task ever holds more of a group than these."""
+    out = reports.first_values(table(spark, d, "lineitem"), ["l_returnflag"], {"evidence": ("l_suppkey", 3), "examples": ("l_partkey", 30)})
+    return out.select("l_returnflag", "n", *(F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in ("evidence", "examples")))

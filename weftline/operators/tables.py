@@ -173,8 +173,11 @@ def coverage_status(pending_n: Column, failures: Column, gaps: Column, error: Co
 
 def breakdown(rows: DataFrame, dimensions: list[str]) -> DataFrame:
     """(dimension, value, n) for each dimension on its own, in one aggregation by grouping sets."""
-    pairs = F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dimensions))
-    return rows.select(F.explode(pairs).alias("x")).groupBy("x.dimension", "x.value").agg(F.count("*").alias("n"))
+    told = rows.groupingSets([[d] for d in dimensions], *dimensions).agg(*(F.grouping(d).alias(f"_g_{d}") for d in dimensions), F.count("*").alias("n"))
+    name, value = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for d in dimensions:
+        name, value = F.when(F.col(f"_g_{d}") == 0, d).otherwise(name), F.when(F.col(f"_g_{d}") == 0, F.col(d).cast("string")).otherwise(value)
+    return told.select(name.alias("dimension"), value.alias("value"), "n")
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
