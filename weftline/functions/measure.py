@@ -186,16 +186,28 @@ ACTION = r"(?i)\b(?:marinate|refrigerate|chill|rest|soak|ferment|proof|simmer|ba
 STORAGE = r"(?i)\b(?:leftovers?|store|storage|keeps? for|lasts? for)\b"
 
 
-def step_minutes(step: Column) -> Column:
-    """All explicit durations of a step in minutes, a range by its lower end; none for steps on storage or without an action."""
+def step_durations(step: Column) -> Column:
+    """array<struct<minutes, text>> of a step's explicit durations, a range by its lower end; none for steps on storage or without an action."""
     pattern = rf"(?i)((?<![0-9./]){NUMBER}(?:\s*(?:-|–|to)\s*{NUMBER})?\s*(?:minutes?|mins?|hours?|hrs?|days?|分钟|小时|天)(?![A-Za-z]))"
 
     def value(m: Column) -> Column:
         factor = F.when(m.rlike(r"(?i)days?$|天$"), 1440.0).when(m.rlike(r"(?i)(?:hours?|hrs?)$|小时$"), 60.0).otherwise(1.0)
-        return number(F.regexp_extract(m, f"^({NUMBER})", 1)) * factor
+        return F.struct((number(F.regexp_extract(m, f"^({NUMBER})", 1)) * factor).alias("minutes"), m.alias("text"))
 
     found = F.transform(F.regexp_extract_all(step, F.lit(pattern), F.lit(1)), value)
-    return F.when(step.rlike(ACTION) & ~step.rlike(STORAGE), found).otherwise(F.array().cast("array<double>"))
+    return F.when(step.rlike(ACTION) & ~step.rlike(STORAGE), found).otherwise(F.array().cast("array<struct<minutes:double,text:string>>"))
+
+
+def step_minutes(step: Column) -> Column:
+    return F.transform(step_durations(step), lambda x: x["minutes"])
+
+
+def timing_evidence(steps: Column) -> Column:
+    """array<struct<instruction_index, minimum_minutes, source_duration>>: the durations that timing goes by, in order, steps counted from 0."""
+    def of(step: Column, i: Column) -> Column:
+        return F.transform(step_durations(step), lambda x: F.struct(i.alias("instruction_index"), x["minutes"].alias("minimum_minutes"), x["text"].alias("source_duration")))
+
+    return F.flatten(F.transform(steps, of))
 
 
 def timing(steps: Column, total: Column) -> Column:

@@ -100,10 +100,18 @@ def labelled_times(text: Column) -> Column:
     return F.struct(*(field(label).alias(name) for name, label in TIME_LABELS.items()))
 
 
-def reextracted(record: Column, parsed: Column, fields: list[str]) -> Column:
-    """record (a struct) with the fields that a second reading of its kept body gives, if that has items and steps."""
+def merged_times(times: Column, body: Column) -> Column:
+    """times (a struct with fields of TIME_LABELS) with what a kept body says of fields that are null."""
+    said = labelled_times(body)
+    return F.transform(F.array(said), lambda t: F.struct(*(F.coalesce(times[name], t[name]).alias(name) for name in TIME_LABELS)))[0]
+
+
+def reextracted(record: Column, parsed: Column, fields: list[str], body: Column | None = None, times: str = "times") -> Column:
+    """record (a struct) with the fields that a second reading of its kept body gives, if that has items and steps; with body, times
+    that are still null then come from its labelled lines, whether or not the reading was whole."""
     whole = F.coalesce((F.size(parsed["ingredients"]) > 0) & (F.size(parsed["instructions"]) > 0), F.lit(False))
-    return record.withField("reextracted", whole) if not fields else _with_fields(record, parsed, fields, whole)
+    record = record.withField("reextracted", whole) if not fields else _with_fields(record, parsed, fields, whole)
+    return record if body is None else record.withField(times, merged_times(record[times], body))
 
 
 def _with_fields(record: Column, parsed: Column, fields: list[str], whole: Column) -> Column:
