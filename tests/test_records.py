@@ -174,3 +174,29 @@ def test_fetch(spark):
     assert web.fetch(urls.where("false"), "u", broken, "agent").count() == 0
     fields = web.page_fields(spark.createDataFrame([("<b>1 &eacute;</b>",), ("",), (None,)], "h string"), "h", {"b": "<b>([^<]+)"}).collect()
     assert [r["b"] for r in fields] == ["1 é", None, None]
+
+
+@pytest.mark.parametrize("identity", web.IDENTITIES)
+def test_an_agent_of_ones_own_is_no_way_round_a_denial(spark, identity):
+    rules = f"User-agent: *\nAllow: /\n\nUser-agent: {identity}\nDisallow: /private\nCrawl-delay: 1\n"
+    client = web.replay({"https://a.example/robots.txt": (200, rules), "https://a.example/private/x": (200, "no"), "https://a.example/open": (200, "yes")})
+    site = web._Origin("https://a.example", client, "own-agent", 0.0)
+    assert site.interval == 1
+    site.interval = 0
+    assert site.get("https://a.example/private/x", client)[0] == "blocked"
+    assert site.get("https://a.example/open", client)[:3] == ("fetched", 200, "yes")
+
+
+def test_labelled_times_read_references(spark):
+    for text, want in (("Total time:&nbsp;30 min", 30), ("Total time: 30 min", 30), ("Total&#32;time:\u00a01&nbsp;hr&#x20;5 min", 65), ("x&#10;Ready in&#10;&#10;20 minutes", 20), ("&lt;b&gt;Total time: 5 min", None)):
+        assert one(spark, publish.labelled_times(F.col("a")), a=text)["total_minutes"] == want, text
+
+
+def test_class_members_of_patterns_are_literal():
+    import re
+
+    from weftline.functions.text import glob_regex
+
+    for pattern, yes, no in (("[[a]", "[", "b"), ("[^a]", "^", "b"), ("[!&&a]x", "bx", "&x"), ("a.b", "a.b", "a.b\n")):
+        found = re.compile(glob_regex(pattern).replace("\\z", "\\Z"))
+        assert found.search(yes) and not found.search(no), pattern

@@ -143,12 +143,6 @@ def unit_of(spelling: Column) -> Column:
     return F.try_element_at(table, F.lower(spelling))
 
 
-def _unit(spelling: Column) -> Column:
-    """struct<factor, unit> of a spelling."""
-    table = F.create_map(*(x for u, (factor, unit) in UNITS.items() for x in (F.lit(u), F.struct(F.lit(factor), F.lit(unit)))))
-    return let(F.try_element_at(table, F.lower(spelling)), lambda x: F.struct(x["col1"], x["col2"]))
-
-
 def metric_text(text: Column) -> Column:
     """Every measurement in prose in metric units, Fahrenheit in Celsius; unquantified spoons as a measure of so many mL."""
     text = measurement_layout(fraction_text(F.coalesce(text, F.lit(""))))
@@ -158,9 +152,9 @@ def metric_text(text: Column) -> Column:
         q, end = F.regexp_extract(m, parts, 1), F.regexp_extract(m, parts, 2)
 
         def said(unit: Column) -> Column:
-            return let(unit["col1"], lambda f: F.concat(pretty(number(q) * f), F.when(end != "", F.concat(F.lit("–"), pretty(number(end) * f))).otherwise(F.lit("")), F.lit(" "), unit["col2"]))
+            return let(unit["factor"], lambda f: F.concat(pretty(number(q) * f), F.when(end != "", F.concat(F.lit("–"), pretty(number(end) * f))).otherwise(F.lit("")), F.lit(" "), unit["unit"]))
 
-        return let(_unit(F.regexp_extract(m, parts, 3)), said)
+        return let(unit_of(F.regexp_extract(m, parts, 3)), said)
 
     text = _rewritten(text, f"(?iu){MEASUREMENT}", convert)
     heat = r"(?i)\b(?:[0-9]+(?:\.[0-9]+)?|\.[0-9]+)\s*(?:°\s*F|F|degrees?\s*F(?:ahrenheit)?|Fahrenheit)\b"

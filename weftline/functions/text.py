@@ -125,21 +125,24 @@ REFERENCES = {
 _SCRIPTS = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
 
 
+_REFERENCE = r"&(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,7});"
+
+
 def unescaped(text: Column) -> Column:
-    """Character references as characters: named ones of REFERENCES, and numeric ones, decimal or hexadecimal."""
-    pattern = r"&#([0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"
-
-    def numeric(t: Column) -> Column:
-        found = F.regexp_extract_all(t, F.lit(pattern), F.lit(1))
-        code = F.transform(found, lambda m: F.when(F.lower(m).startswith("x"), F.conv(F.substring(m, 2, 6), 16, 10)).otherwise(m).cast("int"))
-        signs = F.transform(code, lambda c: F.when((c > 0) & (c < 0xD800) | (c >= 0xE000) & (c <= 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32")).otherwise("\ufffd"))
-        pieces = F.split(t, pattern, -1)
-        return F.when(F.size(found) == 0, t).otherwise(F.transform(F.array(signs), lambda s: F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(s, i), F.lit("")))), ""))[0])
-
-    text = F.transform(F.array(text), numeric)[0]
-    for name, sign in REFERENCES.items():
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(sign))
-    return text
+    """Character references as characters, in one pass: named ones of REFERENCES, and numeric ones, decimal or hexadecimal. Others stay, and
+    what a reference gives is not read again. A text without & is left alone."""
+    named = F.create_map(*(F.lit(x) for pair in REFERENCES.items() for x in pair))
+
+    def sign(m: Column) -> Column:
+        code = F.when(F.lower(F.substring(m, 2, 1)) == "x", F.conv(F.substring(m, 3, 6), 16, 10)).otherwise(F.substring(m, 2, 7)).cast("int")
+        known = F.transform(F.array(code), lambda c: F.when((c > 0) & (c < 0xD800) | (c >= 0xE000) & (c <= 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32")).otherwise("\ufffd"))[0]
+        return F.when(F.startswith(m, F.lit("#")), known).otherwise(F.coalesce(F.try_element_at(named, m), F.concat(F.lit("&"), m, F.lit(";"))))
+
+    def read(t: Column) -> Column:
+        signs = F.transform(F.regexp_extract_all(t, F.lit(_REFERENCE), F.lit(1)), sign)
+        return F.array_join(F.zip_with(F.split(t, _REFERENCE, -1), signs, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
+
+    return F.when(F.contains(text, F.lit("&")), F.transform(F.array(text), read)[0]).otherwise(text)
 
 
 def visible_text(page: Column) -> Column:

@@ -18,6 +18,12 @@ MEAL_TYPES = (
 # The meal type of a dish role that is no meal.
 ROLE_TYPES = {"dessert": "Dessert", "condiment": "Sauce/condiment", "drink": "Snack", "bread": "Baking", "component": "Side dish", "side": "Side dish"}
 
+# What captured texts look like that gave no record.
+BLOCKED_PAGE = r"(?i)access denied|403 forbidden|enable javascript|captcha|robot check|just a moment|request blocked"
+POINTER_FILE = r"^\s*#[^\n]*(?:\n\s*(?:`?TODO`?|See \[[^\]]+\]\([^)]*\)\.?))?\s*$"
+SAMPLE_FILE = r"%(?:INGREDIENT|INSTRUCTION|IMAGE)_NAME%|Sample recipe name|<title>asdf</title>"
+LIST_PARTS = r"(?im)^\s*(?:#+\s*)?(?:ingredients|instructions|directions|steps|recipe|材料)\b|^\s*[-*+]\s+\d"
+
 
 def first_match(text: Column, patterns, default: Column | None = None) -> Column:
     out = F.lit(None).cast("string") if default is None else default
@@ -58,10 +64,10 @@ def triage(text: Column, path: Column) -> Column:
     def case(outcome: str, cause: str) -> Column:
         return F.struct(F.lit(outcome).alias("outcome"), F.lit(cause).alias("cause"))
 
-    blocked = (size < 600) & body.rlike(r"(?i)access denied|403 forbidden|enable javascript|captcha|robot check|just a moment|request blocked")
-    pointer = visible.rlike(r"^\s*#[^\n]*(?:\n\s*(?:`?TODO`?|See \[[^\]]+\]\([^)]*\)\.?))?\s*$")
-    sample = text.rlike(r"%(?:INGREDIENT|INSTRUCTION|IMAGE)_NAME%|Sample recipe name|<title>asdf</title>")
-    parts = text.rlike(r"(?im)^\s*(?:#+\s*)?(?:ingredients|instructions|directions|steps|recipe|材料)\b|^\s*[-*+]\s+\d")
+    blocked = (size < 600) & body.rlike(BLOCKED_PAGE)
+    pointer = visible.rlike(POINTER_FILE)
+    sample = text.rlike(SAMPLE_FILE)
+    parts = text.rlike(LIST_PARTS)
     return (
         F.when(blocked, case("BLOCKED", "captured-access-or-missing-page"))
         .when(pointer, case("NOT_A_RECIPE_SOURCE", "duplicate/non-recipe-file"))

@@ -11,11 +11,12 @@ def any_known(value: Column) -> Column:
     return F.when(F.bool_or(F.coalesce(value, F.lit(False))), True).when(F.bool_and(F.coalesce(~value, F.lit(False))), False)
 
 
-def rollup(products: DataFrame, item: str, product: str, name: str, available: str, observed: str, category: str) -> DataFrame:
-    """One row for each item: its products' ids (sorted), number, distinct names, tri-state availability, last observation, first product's category."""
+def rollup(products: DataFrame, item: str, product: str, name: str, available: str, observed: str, category: str, order: str | None = None) -> DataFrame:
+    """One row for each item: its products' ids (sorted), number, distinct names, tri-state availability, last observation, and the category
+    of its first product by order (by id where order isn't given)."""
     return products.groupBy(item).agg(
         F.sort_array(F.collect_set(product)).alias("product_ids"), F.count("*").alias("n_products"), F.sort_array(F.collect_set(name)).alias("names"),
-        any_known(F.col(available)).alias("available"), F.max(observed).alias("last_observed"), F.min_by(category, product).alias("category"),
+        any_known(F.col(available)).alias("available"), F.max(observed).alias("last_observed"), F.min_by(category, order or product).alias("category"),
     )
 
 

@@ -166,9 +166,8 @@ def duplicate_manifest(spark, d):
 count(*) AS n_products, max(l_orderkey) AS last_observed, min_by(l_linestatus, l_orderkey * 100 + l_linenumber) AS category FROM lineitem GROUP BY l_partkey""")
 def tri_state_inventory(spark, d):
     rows = table(spark, d, "lineitem").select("l_partkey", F.col("l_suppkey").cast("string").alias("product"), F.when(F.col("l_returnflag") == "A", True).when(F.col("l_returnflag") == "R", False).alias("stock"), "l_orderkey", "l_linestatus", (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("place"))
-    out = evidence.rollup(rows, "l_partkey", "product", "product", "stock", "l_orderkey", "l_linestatus")
-    first = rows.groupBy("l_partkey").agg(F.min_by("l_linestatus", "place").alias("category"))
-    return out.drop("names", "category").withColumn("product_ids", F.array_join("product_ids", ",")).join(first, "l_partkey")
+    out = evidence.rollup(rows, "l_partkey", "product", "product", "stock", "l_orderkey", "l_linestatus", "place")
+    return out.drop("names").withColumn("product_ids", F.array_join("product_ids", ","))
 
 
 @query("""SELECT l_partkey, l_suppkey, n FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY n DESC, l_suppkey) AS r FROM (SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL)) WHERE r = 1""")

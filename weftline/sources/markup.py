@@ -11,9 +11,38 @@ from html.parser import HTMLParser
 from .record import from_object, objects_in
 
 # Elements without content, and names that mark items and steps in pages.
-VOID = frozenset("meta link img br hr input source wbr".split())
-ITEM_NAMES = frozenset("wprm-recipe-ingredient tasty-recipes-ingredient ingredient ingredients-item recipe-ingredient recipeingredient".split())
-STEP_NAMES = frozenset("wprm-recipe-instruction-text tasty-recipes-instructions instruction instruction-step recipe-instruction recipeinstructions".split())
+VOID = frozenset(
+    (
+        "meta",
+        "link",
+        "img",
+        "br",
+        "hr",
+        "input",
+        "source",
+        "wbr",
+    )
+)
+ITEM_NAMES = frozenset(
+    (
+        "wprm-recipe-ingredient",
+        "tasty-recipes-ingredient",
+        "ingredient",
+        "ingredients-item",
+        "recipe-ingredient",
+        "recipeingredient",
+    )
+)
+STEP_NAMES = frozenset(
+    (
+        "wprm-recipe-instruction-text",
+        "tasty-recipes-instructions",
+        "instruction",
+        "instruction-step",
+        "recipe-instruction",
+        "recipeinstructions",
+    )
+)
 CARD_NAMES = frozenset(("recipe", "recipe-details"))
 BLOCKS = frozenset(("p", "li", "div"))
 

@@ -22,6 +22,12 @@ Client = Callable[[str], tuple[int, str]]
 FETCHED = "url string, outcome string, status int, body string, error string, retryable boolean"
 #: Answers by which a server refuses access; they are taken as they are.
 REFUSED = (401, 403, 429)
+# Agents whose denial counts for every agent, so that a name of one's own is no way round it.
+IDENTITIES = (
+    "ChatGPT-User",
+    "GPTBot",
+    "OAI-SearchBot",
+)
 
 
 def replay(answers: dict[str, tuple[int, str]]) -> Client:
@@ -37,7 +43,7 @@ class _Origin:
     """What an origin's robots.txt allows."""
 
     def __init__(self, name: str, client: Client, agent: str, interval: float):
-        self.agent, self.refusal, self.rules = agent, None, RobotFileParser()
+        self.agents, self.refusal, self.rules = (agent, *IDENTITIES), None, RobotFileParser()
         status, body = client(name + "/robots.txt")
         if status in REFUSED or 300 <= status < 400:
             self.refusal = f"HTTP {status} at robots.txt"
@@ -45,12 +51,12 @@ class _Origin:
             self.refusal = f"robots.txt can't be read: HTTP {status}"
         self.unread = bool(self.refusal) and status >= 500
         self.rules.parse(body.splitlines() if status == 200 else [])
-        self.interval = max(interval, float(self.rules.crawl_delay(agent) or 0))
+        self.interval = max(interval, *(float(self.rules.crawl_delay(a) or 0) for a in self.agents))
 
     def get(self, url: str, client: Client) -> tuple:
         if self.refusal:
             return "failed" if self.unread else "blocked", None, None, self.refusal, self.unread
-        if not self.rules.can_fetch(self.agent, url):
+        if not all(self.rules.can_fetch(a, url) for a in self.agents):
             return "blocked", None, None, "robots.txt disallows it", False
         if self.interval:
             time.sleep(self.interval)
