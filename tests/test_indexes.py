@@ -108,3 +108,17 @@ def test_search_reads_its_terms_and_stops_early(spark, tmp_path, monkeypatch):
     plan = real(index, query, [0, 1])._jdf.queryExecution().executedPlan().toString()
     assert "In(term" in plan.split("PushedFilters")[1] and "In(block" in plan.split("PushedFilters")[1]
     assert [r["id"] for r in index.search(search.parse_query(["rare"], {}, {}), 10).orderBy("place").collect()] == [5, 1005, 2005, 3005]
+
+
+def test_numbers_within_groups_and_bins(spark, tmp_path):
+    rows = spark.range(2000).select("id", F.when(F.col("id") % 50 > 0, "hot").when(F.col("id") % 100 == 0, "few").alias("g")).repartition(6)
+    out = numbering.within_groups(rows, ["g"], [F.desc("id")], f"{tmp_path}/w")
+    want = {}
+    for r in sorted(rows.collect(), key=lambda r: -r["id"]):
+        want.setdefault(r["g"], []).append(r["id"])
+    assert {(r["g"], r["id"], r["place"]) for r in out.collect()} == {(g, i, n + 1) for g, ids in want.items() for n, i in enumerate(ids)}
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    chunk = {(r["g"], r["id"]): r["chunk"] for r in numbering.chunks(rows, 200, ["g"], [F.desc("id")], f"{tmp_path}/c").collect()}
+    assert chunk == {(g, i): n // 200 for g, ids in want.items() for n, i in enumerate(ids)}
+    assert [r["bin"] for r in numbering.dealt(rows, 3, [F.col("id")], f"{tmp_path}/d").orderBy("id").limit(5).collect()] == [0, 1, 2, 0, 1]
+    assert [r["bin"] for r in numbering.dealt(rows.where("id < 2"), 3, [F.col("id")], f"{tmp_path}/e").orderBy("id").collect()] == [0, 1]

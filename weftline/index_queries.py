@@ -196,3 +196,17 @@ def first_examples(spark, d):
     """A few hot groups, the first 3 suppliers and 30 parts of each: no task ever holds more of a group than these."""
     out = reports.first_values(table(spark, d, "lineitem"), ["l_returnflag"], {"evidence": ("l_suppkey", 3), "examples": ("l_partkey", 30)})
     return out.select("l_returnflag", "n", *(F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in ("evidence", "examples")))
+
+
+@query("""SELECT l_returnflag, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, CAST(floor((row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1) / 200) AS BIGINT) AS chunk FROM lineitem""")
+def hot_chunks(spark, d):
+    """A few groups of all lines, cut into chunks of 200 without sorting any group in one task."""
+    by = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    rows = table(spark, d, "lineitem").select("l_returnflag", *by)
+    return numbering.chunks(rows, 200, ["l_returnflag"], [F.col(c) for c in by], shared(spark, "chunks"))
+
+
+@query("SELECT o_orderkey, CAST((row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1) % 7 AS INTEGER) AS bin FROM orders")
+def dealt_bins(spark, d):
+    """All orders dealt over seven bins, dearest first: a global order, in no single task."""
+    return numbering.dealt(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), 7, [F.desc("o_totalprice"), F.col("o_orderkey")], shared(spark, "dealt")).drop("o_totalprice")

@@ -87,3 +87,25 @@ def opened(spark: SparkSession, folder: str) -> Numbered:
     counts = {r[RANGE]: r["n"] for r in table.groupBy(RANGE).agg(F.count("*").alias("n")).collect()}
     ends = list(accumulate(counts[r] for r in sorted(counts)))
     return Numbered(table, dict(zip(sorted(counts), [0, *ends[:-1]], strict=True)) if counts else {}, ends[-1] if ends else 0)
+
+
+def within_groups(rows: DataFrame, group: list[str], order: list[Column], folder: str, place: str = "place") -> DataFrame:
+    """rows with each row's number within its group, from 1 on, in an order that is total within a group.
+
+    Rows are numbered as a whole by group and order, and a group's first number, a sum of tasks, is taken off: a hot group
+    is dealt over ranges like any other rows, where a window would sort it in one task."""
+    whole = number(rows, [*(F.col(c) for c in group), *order], folder).rows("_number")
+    starts = whole.groupBy(*group).agg(F.min("_number").alias("_start"))
+    same = reduce(lambda a, b: a & b, (F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in group))
+    return whole.alias("a").join(starts.alias("b"), same).select(*(F.col(f"a.{c}") for c in rows.columns), (F.col("a._number") - F.col("b._start") + 1).alias(place))
+
+
+def chunks(rows: DataFrame, size: int, group: list[str], order: list[Column], folder: str) -> DataFrame:
+    """rows with chunk: each group's rows in order, cut into chunks of so many, from 0 on."""
+    return within_groups(rows, group, order, folder, "_place").withColumn("chunk", F.floor((F.col("_place") - 1) / size).cast("bigint")).drop("_place")
+
+
+def dealt(rows: DataFrame, bins: int, order: list[Column], folder: str) -> DataFrame:
+    """rows with bin: dealt one by one, in order, over so many bins (as many as there are rows, if these are fewer)."""
+    it = number(rows, order, folder)
+    return it.rows("_number").withColumn("bin", ((F.col("_number") - 1) % max(1, min(bins, it.total))).cast("int")).drop("_number")
