@@ -41,7 +41,7 @@ def _search_sql(text: str) -> str:
     inside = lambda column, word: f"contains(' ' || {column} || ' ', ' {word} ')"
     hits = [f"(len(list_filter(items, lambda x: {inside('x', w)})) > 0)" for w in words]
     every = " AND ".join(f"({h} OR {inside('meta', w)})" for h, w in zip(hits, words, strict=True))
-    return f"""(SELECT '{text}' AS query, doc_id, n_items, priority, row_number() OVER (ORDER BY priority, n_items DESC, doc_id) AS place FROM (
+    return f"""(SELECT '{text}' AS query, doc_id, n_items, priority, CAST(row_number() OVER (ORDER BY priority, n_items DESC, doc_id) AS INTEGER) AS place FROM (
   SELECT doc_id, {" + ".join(f"{h}::INT" for h in hits)} AS n_items, CASE WHEN title = '{text}' THEN 0 WHEN starts_with(title, '{text}') OR {inside("title", text)} THEN 1
     WHEN {" AND ".join(hits)} THEN 2 WHEN {" OR ".join(hits)} THEN 3 ELSE 4 END AS priority, {every} AS every FROM t) WHERE every OR priority < 2 QUALIFY place <= {SHOWN})"""
 
