@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from pathlib import Path
 
 import pytest
@@ -131,12 +132,12 @@ def test_every_query_of_the_package_runs(spark, tables):
 
     folder, rows, _ = tables
     text = {r[0]: r[1] or "" for r in rows}
-    got = {n: {r["doc_id"]: r for r in QUERIES[n](spark, folder).collect()} for n in QUERIES if n.startswith("op") and n not in ("op2_url_filters", "op4_chat_format")}
-    assert len(got) == 8 and all(set(x) == set(text) for x in got.values())
+    got = {n: {r["doc_id"]: r for r in QUERIES[n](spark, folder).collect()} for n in QUERIES if n.startswith("op") and n not in ("op2_url_filters", "op4_chat_format", "op13_vector_codes")}
+    assert len(got) == 10 and all(set(x) == set(text) for x in got.values())
     lib = Tokenizer.from_file(tokenizer_path())
     for k, t in text.items():
         ids = lib.encode(t, add_special_tokens=False).ids
-        one, five, six, eight = (got[n][k] for n in ("op1_toxicity", "op5_bpe", "op6_token_counts", "op8_lm_scoring"))
+        one, five, six, eight, eleven, twelve = (got[n][k] for n in ("op1_toxicity", "op5_bpe", "op6_token_counts", "op8_lm_scoring", "op11_fill_in_middle", "op12_language_id"))
         crc = zlib.crc32(str(k).encode())
         assert one["held_out"] == (crc % 5 == 0) and eight["held_out"] == (crc % 10 == 0)
         assert 0 <= one["score"] <= 1 and one["predicted"] == int(one["score"] >= 0.5)
@@ -144,5 +145,7 @@ def test_every_query_of_the_package_runs(spark, tables):
         assert five["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
         assert six["n_bytes"] == len(t.encode()) and six["over_limit"] == (len(ids) > 1024)
         assert eight["n_known"] <= eight["n_tokens"] and eight["score"] < 0
+        assert eleven["restored_sha256"] == five["decoded_sha256"] and eleven["n"] == len(re.findall("[A-Za-z]+|[^A-Za-z]", t))
+        assert twelve["held_out"] == (crc % 4 == 2) and twelve["lang_pred"] == ("en" if re.search("[a-z]", t) else "und") and 0 <= twelve["score"] <= 1
     held = [k for k, r in got["op1_toxicity"].items() if r["held_out"] and k < 360]
     assert sum(got["op1_toxicity"][k]["predicted"] == int(k % 3 == 0) for k in held) >= 0.95 * len(held)
