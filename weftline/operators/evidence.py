@@ -6,17 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def any_known(value: Column) -> Column:
-    """Aggregate: true if any is true, false if all are false, else null."""
-    return F.when(F.bool_or(F.coalesce(value, F.lit(False))), True).when(F.bool_and(F.coalesce(~value, F.lit(False))), False)
+def any_known(value: Column, says: Column | None = None) -> Column:
+    """Aggregate: true if any is true, false if all are false, else null. Rows where says (if given) isn't true don't count."""
+    false = F.coalesce(~value, F.lit(False))
+    return F.when(F.bool_or(F.coalesce(value, F.lit(False))), True).when(F.bool_and(false if says is None else F.when(says, false)), False)
 
 
-def rollup(products: DataFrame, item: str, product: str, name: str, available: str, observed: str, category: str, order: str | None = None) -> DataFrame:
-    """One row for each item: its products' ids (sorted), number, distinct names, tri-state availability, last observation, and the category
-    of its first product by order (by id where order isn't given)."""
+def rollup(products: DataFrame, item: str, product: str, name: str, available: str, observed: str, category: str, order: str | None = None, says: str | None = None) -> DataFrame:
+    """One row for each item: its products' ids (sorted), number, distinct names, tri-state availability (of rows where says holds, if given),
+    last observation, and the category of its first product by order (by id where order isn't given; rows with a null order are passed over).
+
+    An order that two products of an item share leaves the category open: give a struct that ends in a row's own place."""
     return products.groupBy(item).agg(
         F.sort_array(F.collect_set(product)).alias("product_ids"), F.count("*").alias("n_products"), F.sort_array(F.collect_set(name)).alias("names"),
-        any_known(F.col(available)).alias("available"), F.max(observed).alias("last_observed"), F.min_by(category, order or product).alias("category"),
+        any_known(F.col(available), None if says is None else F.col(says)).alias("available"), F.max(observed).alias("last_observed"), F.min_by(category, order or product).alias("category"),
     )
 
 

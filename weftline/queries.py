@@ -165,9 +165,12 @@ def duplicate_manifest(spark, d):
 @query("""SELECT l_partkey, CASE WHEN bool_or(l_returnflag = 'A') THEN true WHEN bool_and(l_returnflag = 'R') THEN false END AS available, string_agg(DISTINCT l_suppkey::VARCHAR, ',' ORDER BY l_suppkey::VARCHAR) AS product_ids,
 count(*) AS n_products, max(l_orderkey) AS last_observed, min_by(l_linestatus, l_orderkey * 100 + l_linenumber) AS category FROM lineitem GROUP BY l_partkey""")
 def tri_state_inventory(spark, d):
-    rows = table(spark, d, "lineitem").select("l_partkey", F.col("l_suppkey").cast("string").alias("product"), F.when(F.col("l_returnflag") == "A", True).when(F.col("l_returnflag") == "R", False).alias("stock"), "l_orderkey", "l_linestatus", (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("place"))
-    out = evidence.rollup(rows, "l_partkey", "product", "product", "stock", "l_orderkey", "l_linestatus", "place")
-    return out.drop("names").withColumn("product_ids", F.array_join("product_ids", ","))
+    """Of several first rows the one that comes first in the files counts; nulls are passed over as SQL's aggregates do."""
+    flag, place = F.col("l_returnflag"), F.col("l_orderkey") * 100 + F.col("l_linenumber")
+    order = F.when(place.isNotNull() & F.col("l_linestatus").isNotNull(), F.struct(place, "_metadata.file_path", "_metadata.row_index"))
+    rows = table(spark, d, "lineitem").select("l_partkey", F.col("l_suppkey").cast("string").alias("product"), F.when(flag == "A", True).when(flag == "R", False).alias("stock"), flag.isNotNull().alias("says"), "l_orderkey", "l_linestatus", order.alias("place"))
+    out = evidence.rollup(rows, "l_partkey", "product", "product", "stock", "l_orderkey", "l_linestatus", "place", "says")
+    return out.drop("names").withColumn("product_ids", F.when(F.size("product_ids") > 0, F.array_join("product_ids", ",")))
 
 
 @query("""SELECT l_partkey, l_suppkey, n FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY n DESC, l_suppkey) AS r FROM (SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL)) WHERE r = 1""")
