@@ -1,3 +1,6 @@
+import re
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from weftline.llm import bpe, queries, token_counts
@@ -23,3 +26,21 @@ def test_table_from_a_bounded_set_of_tasks(spark, monkeypatch):
     local = token_counts.count_tokens(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), path)
     assert "Exchange" not in local._jdf.queryExecution().executedPlan().toString()
     assert token_counts.frequent_pre_tokens(docs.where(F.lit(False)), bpe.load_spec(path)) == []
+
+
+def test_the_table_counts_all_texts(spark, monkeypatch):
+    """Every partition's pre-tokens count in full, also those of a task that holds few at a time; whole levels fit a small table."""
+    path = queries.tokenizer_path()
+    texts = [f"the of{'abcdefghij'[k % 10] * (k // 10 + 1)} only in part {k} {'xyz' * (k % 7)} the" for k in range(40)] + ["", None]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(list(enumerate(texts)), 42), "doc_id long, text string")
+    count = Counter(p.encode() for t in texts for p in re.findall(r" ?[a-z]+| ?[0-9]+|\s+(?!\S)|\s+", t or ""))
+    want = sorted(count, key=lambda p: (-count[p], p))
+    for held in (1 << 17, 3):
+        monkeypatch.setattr(token_counts, "HELD", held)
+        assert token_counts.frequent_pre_tokens(docs.coalesce(3), bpe.load_spec(path)) == want
+    assert token_counts.frequent_pre_tokens(docs, bpe.load_spec(path)) == want
+    for size in (0, 5, 12, 60):
+        monkeypatch.setattr(token_counts, "TABLE", size)
+        some = token_counts.frequent_pre_tokens(docs, bpe.load_spec(path))
+        assert some == want[: len(some)] and len(some) <= size
+        assert not some or size < 5 or count[want[len(some) - 1]] > count[want[len(some)]]

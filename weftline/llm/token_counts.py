@@ -1,12 +1,11 @@
 """Token counts by a map-side two-tier lookup.
 
-Tier 1 is a compact broadcast hash table from frequent pre-tokens to their numbers of tokens. It is made from a
-bounded set of tasks: at most TASKS partitions, evenly spaced over all of them, each keep a bounded summary of
-their most frequent pre-tokens (SUMMARY) and send TOP of them, of at most PIECE_BYTES each, straight to the driver,
-which sums them and encodes the TABLE most frequent once. The driver so takes TASKS * TOP * PIECE_BYTES bytes at
-most, the table TABLE * 12, whatever the input is; no pre-token is ever shuffled, and one pass over all texts
-is enough. Tier 2: what the table misses is encoded exactly by each worker and kept in its cache. Which
-pre-tokens are in tier 1 changes the speed, never a count.
+Tier 1 is a compact broadcast hash table from frequent pre-tokens to their numbers of tokens. A first pass counts the
+pre-tokens of all texts, of at most PIECE_BYTES each: a task holds some HELD of them at a time and then hands their counts
+on, so nothing is left out, and an exchange sums them. Sums have levels (eighths of a power of two); the table takes
+whole levels from the top, as many as TABLE holds, so the driver takes TABLE * PIECE_BYTES bytes at most, from at most
+TASKS tasks, and encodes each piece once. Tier 2: what the table misses is encoded exactly by each worker and kept in
+its cache. Texts themselves are never shuffled; which pre-tokens are in tier 1 changes the speed, never a count.
 
 Cases: null text counts as empty (no bytes, no tokens); repeated rows and other columns pass through; a
 column with an output's name is replaced; an empty table gives an empty table.
@@ -14,53 +13,60 @@ column with an output's name is replaced; an empty table gives an empty table.
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .bpe import encoder, load_spec
-from .common import map_columns, ready
+from .common import dropped, map_columns, ready, written
 from .textkit import HashTable, pre_tokens, slices, span_hash
 
-TASKS, SUMMARY, TOP, TABLE, PIECE_BYTES = 16, 1 << 15, 1 << 12, 1 << 16, 64
+TASKS, HELD, TABLE, PIECE_BYTES = 16, 1 << 17, 1 << 16, 64
 
 
 def frequent_pre_tokens(df: DataFrame, spec: bytes, text_col: str = "text") -> list[bytes]:
-    """The most frequent pre-tokens of TASKS partitions, most frequent first; at most TABLE."""
-    sc = ready(df.sparkSession).sparkContext
-    shared = sc.broadcast(spec)
+    """The most frequent pre-tokens of all texts, most frequent first; at most TABLE."""
+    spark = ready(df.sparkSession)
+    shared = spark.sparkContext.broadcast(spec)
 
     def run(batches):
         bpe = encoder(shared.value).bpe
-        keys, counts, pieces = np.zeros(0, np.uint64), np.zeros(0, np.int64), {}
+
+        def handed_on():
+            return pa.RecordBatch.from_arrays([pa.array(pieces, pa.binary()), pa.array(counts)], names=["piece", "n"])
+
+        table, counts, pieces = HashTable(), np.zeros(0, np.int64), []
         for batch in batches:
             for _, _, data, offsets in slices(batch.column(0)):
                 start, end, _ = pre_tokens(data, offsets, bpe.special)
                 small = end - start <= PIECE_BYTES
                 start, end = start[small], end[small]
-                own, at, n = np.unique(span_hash(data, start, end), return_index=True, return_counts=True)
-                keys, back = np.unique(np.concatenate([keys, own]), return_inverse=True)
-                counts = np.bincount(back, np.concatenate([counts, n])).astype(np.int64)
-                if len(keys) > SUMMARY:
-                    best = np.sort(np.argpartition(-counts, SUMMARY)[:SUMMARY])
-                    keys, counts = keys[best], counts[best]
-                raw, kept = data.tobytes(), set(keys.tolist())
-                pieces = {k: v for k, v in pieces.items() if k in kept}
-                for k, a, b in zip(own.tolist(), start[at].tolist(), end[at].tolist(), strict=True):
-                    if k in kept and k not in pieces:
-                        pieces[k] = raw[a:b]
-        best = np.argsort(-counts, kind="stable")[:TOP]
-        if len(best):
-            yield pa.RecordBatch.from_arrays([pa.array([pieces[k] for k in keys[best].tolist()], pa.binary()), pa.array(counts[best])], names=["piece", "n"])
-
-    # Only the chosen partitions run, and what they send needs no shuffle.
-    rows = df.select(text_col).mapInArrow(run, "piece binary, n bigint").rdd.map(tuple)
-    n, total = rows.getNumPartitions(), Counter()
-    for piece, count in sc.runJob(rows, list, sorted({n * k // min(n, TASKS) for k in range(min(n, TASKS))})):
-        total[bytes(piece)] += count
-    return [p for p, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:TABLE]]
+                h = span_hash(data, start, end)
+                at = table.get(h)
+                miss = np.flatnonzero(at < 0)
+                keys, first = np.unique(h[miss], return_index=True)
+                table.put(keys, np.arange(len(pieces), len(pieces) + len(keys), dtype=np.int32))
+                raw, new = data.tobytes(), miss[first]
+                pieces += [raw[a:b] for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)]
+                at[miss] = table.get(h[miss])
+                counts = np.append(counts, np.zeros(len(keys), np.int64)) + np.bincount(at, minlength=len(pieces))
+                if len(pieces) > HELD:
+                    yield handed_on()
+                    table, counts, pieces = HashTable(), np.zeros(0, np.int64), []
+        if pieces:
+            yield handed_on()
+
+    sums = df.select(text_col).mapInArrow(run, "piece binary, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
+    sums = written(sums.withColumn("level", F.floor(F.log2("n") * 8).cast("int")), "pre-tokens")
+    lowest, size = 1 << 30, 0
+    for level, n in sorted(sums.groupBy("level").count().collect(), reverse=True):
+        if (size := size + n) > TABLE:
+            break
+        lowest = level
+    top = sums.where(F.col("level") >= lowest).select("piece", "n").coalesce(TASKS).collect()
+    dropped(spark, sums)
+    return [bytes(p) for p, _ in sorted(top, key=lambda x: (-x[1], x[0]))]
 
 
 def count_tokens(df: DataFrame, tokenizer_path: str, text_col: str = "text", limit: int = 1024, keep: list[str] | None = None) -> DataFrame:
