@@ -16,12 +16,21 @@ from functools import reduce
 from itertools import accumulate
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RANGE, PLACE = "_range", "_place"
 
 
+def placed(rows: DataFrame, *columns: Column | str) -> DataFrame:
+    """Columns of a table that is read from files, with file (a number in the order of paths) and row (a place in the file).
+
+    One row for each file is numbered and broadcast, so that no row carries a path through an exchange or a sort."""
+    path = F.col("_metadata.file_path").alias("_path")
+    files = rows.select(path).distinct().select("_path", F.row_number().over(Window.orderBy("_path")).alias("file"))
+    return rows.select(*columns, path, F.col("_metadata.row_index").alias("row")).join(F.broadcast(files), "_path").drop("_path")
+
+
 def in_order(rows: DataFrame, order: list[Column], ranges: int | None = None) -> DataFrame:
     """rows dealt into ascending ranges, each sorted: written out, they are files whose names follow the order."""
     return (rows.repartitionByRange(ranges, *order) if ranges else rows.repartitionByRange(*order)).sortWithinPartitions(*order)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import identity, measure
 from .functions import text as tx
 from .functions.workers import ready
-from .operators import classify, evidence, publish, scope, scoring, search, signals, site, tables, validation
+from .operators import classify, evidence, numbering, publish, scope, scoring, search, signals, site, tables, validation
 from .plans import flagship as plan
 from .sources import documents as files
 
@@ -167,8 +167,8 @@ count(*) AS n_products, max(l_orderkey) AS last_observed, min_by(l_linestatus, l
 def tri_state_inventory(spark, d):
     """Of several first rows the one that comes first in the files counts; nulls are passed over as SQL's aggregates do."""
     flag, place = F.col("l_returnflag"), F.col("l_orderkey") * 100 + F.col("l_linenumber")
-    order = F.when(place.isNotNull() & F.col("l_linestatus").isNotNull(), F.struct(place, "_metadata.file_path", "_metadata.row_index"))
-    rows = table(spark, d, "lineitem").select("l_partkey", F.col("l_suppkey").cast("string").alias("product"), F.when(flag == "A", True).when(flag == "R", False).alias("stock"), flag.isNotNull().alias("says"), "l_orderkey", "l_linestatus", order.alias("place"))
+    lines = numbering.placed(table(spark, d, "lineitem"), "l_partkey", F.col("l_suppkey").cast("string").alias("product"), F.when(flag == "A", True).when(flag == "R", False).alias("stock"), flag.isNotNull().alias("says"), "l_orderkey", "l_linestatus", place.alias("at"))
+    rows = lines.withColumn("place", F.when(F.col("at").isNotNull() & F.col("l_linestatus").isNotNull(), F.struct("at", "file", "row")))
     out = evidence.rollup(rows, "l_partkey", "product", "product", "stock", "l_orderkey", "l_linestatus", "place", "says")
     return out.drop("names").withColumn("product_ids", F.when(F.size("product_ids") > 0, F.array_join("product_ids", ",")))
 
