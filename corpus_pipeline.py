@@ -30,7 +30,7 @@ def nontoxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score of 0.5 or more go. The network learns from docs' own labelled rows; where
     these have but one label, or none, all documents get the share of toxic labels as their score. Null and empty texts stay."""
     ready(spark)
-    model = toxicity.fit(*toxicity.training_sample(docs, table(spark, sf_dir, "labels"), ~held_out(5)))
+    model = toxicity.fit_on(docs, table(spark, sf_dir, "labels"), ~held_out(5))
     return toxicity.score(docs.select(*COLUMNS), model, score_col="_toxicity").where(F.col("_toxicity") < 0.5).select(*COLUMNS)
 
 

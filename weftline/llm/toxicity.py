@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, map_columns, ready, written
+from .common import dropped, map_columns, ready, release, written
 from .textkit import ragged, slices, trigrams, words
 
 WINDOW, STRIDE, MINED = 32, 8, 4
@@ -357,6 +357,13 @@ def training_sample(docs: DataFrame, labels: DataFrame, usable: Column, per_clas
     return [r["text"] for r in rows], [r["toxic"] for r in rows], counts.get(1, 0) / max(1, sum(counts.values()))
 
 
+def fit_on(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = PER_CLASS) -> Model:
+    """fit() on training_sample(). The driver lives on through later stages, so what the fit took goes back to the system."""
+    model = fit(*training_sample(docs, labels, usable, per_class))
+    release()
+    return model
+
+
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score", keep: list[str] | None = None) -> DataFrame:
     """docs with score_col, between 0 and 1, of each whole text."""
     shared = ready(docs.sparkSession).sparkContext.broadcast(model)
